@@ -12,7 +12,6 @@ one by one, so ties, repeated rows and extra columns change nothing; a column of
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quire.llm.frames import replace_column, slices
+
 #: Characters of a chunk, and of the overlap that the next chunk repeats.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: Pieces whose ids are remembered by a worker, and the longest piece remembered.
@@ -106,31 +107,14 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def _replace(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    keep = [i for i, c in enumerate(batch.schema.names) if c != name]
-    return pa.RecordBatch.from_arrays(
-        [*(batch.column(i) for i in keep), column], names=[*(batch.schema.names[i] for i in keep), name]
-    )
-
-
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose values of a column take up to about `limit` bytes."""
-    start, size = 0, 0
-    step = max(1, min(batch.num_rows, int(limit / max(1, batch.column(column).nbytes / max(1, batch.num_rows)))))
-    while start < batch.num_rows:
-        size = min(step, batch.num_rows - start)
-        yield batch.slice(start, size)
-        start += size
-
-
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """All columns, and the token ids of the text as an array of int. vocabulary: a rank file that every host has."""
 
     def run(batches):
         c = coder(vocabulary, pattern)
         for b in batches:
-            for s in _slices(b, text):
-                yield _replace(s, out, pa.array(map(c.encode, s.column(text).to_pylist()), pa.list_(pa.int32())))
+            for s in slices(b, text):
+                yield replace_column(s, out, pa.array(map(c.encode, s.column(text).to_pylist()), pa.list_(pa.int32())))
 
     kept = [f for f in df.schema.fields if f.name != out]
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType(), True))]))
@@ -142,9 +126,9 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
     def run(batches):
         c = coder(vocabulary, pattern)
         for b in batches:
-            for s in _slices(b, ids):
+            for s in slices(b, ids):
                 col = s.column(ids)
-                yield _replace(s, out, pa.array((c.decode(x or ()) for x in col.to_pylist()), pa.binary()))
+                yield replace_column(s, out, pa.array((c.decode(x or ()) for x in col.to_pylist()), pa.binary()))
 
     kept = [f for f in df.schema.fields if f.name != out]
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))

@@ -28,7 +28,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op10_byte_bpe]
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import secrets
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+    def count(kind):
+        return F.size(F.filter("found", lambda x: x.kind == kind))
+
+    base = F.filter("found", lambda x: x.kind.isin("assign", "access", "hex"))
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), out="found")
+    return found.select(
+        "doc_id",
+        *(count(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
+    )
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op9_secret_scan, op10_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
