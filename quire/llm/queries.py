@@ -28,6 +28,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import licenses
+
+    def labels(found):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x.label))), ",")
+
+    base = F.filter("license_matches", lambda x: x.phrase)
+    starts = F.transform(base, lambda x: x.start)
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id",
+        F.col("license_words").alias("n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("license_matches")).alias("labels"),
+        F.col("license_score").alias("score"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import secrets
 
@@ -47,7 +67,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op9_secret_scan, op10_byte_bpe]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op8_license_scan, op9_secret_scan, op10_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
