@@ -28,6 +28,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import mixing
+
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import licenses
 
@@ -67,7 +74,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op8_license_scan, op9_secret_scan, op10_byte_bpe]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op5_mix_sources, op8_license_scan, op9_secret_scan, op10_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
