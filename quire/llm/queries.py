@@ -28,6 +28,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import topk
+
+    vectors = topk.quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+ORACLES["op4_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import mixing
 
@@ -84,7 +107,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op5_mix_sources, op6_language_id, op8_license_scan, op9_secret_scan, op10_byte_bpe]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op4_top_k, op5_mix_sources, op6_language_id, op8_license_scan, op9_secret_scan, op10_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
