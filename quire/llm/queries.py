@@ -42,6 +42,16 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import lm
+
+    def held_out(doc_id):
+        return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
+
+    scored = lm.score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out(F.col("doc_id")))
+    return scored.withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import topk
 
@@ -121,7 +131,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_exact_dedup, op4_top_k, op5_mix_sources, op6_language_id, op8_license_scan, op9_secret_scan, op10_byte_bpe]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_exact_dedup, op3_lm_score, op4_top_k, op5_mix_sources, op6_language_id, op8_license_scan, op9_secret_scan, op10_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
