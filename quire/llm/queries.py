@@ -42,6 +42,13 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import repeats
+
+    found = repeats.remove(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import lm
 
@@ -131,7 +138,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_exact_dedup, op3_lm_score, op4_top_k, op5_mix_sources, op6_language_id, op8_license_scan, op9_secret_scan, op10_byte_bpe]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_exact_dedup, op2_substring_dedup, op3_lm_score, op4_top_k, op5_mix_sources, op6_language_id, op8_license_scan, op9_secret_scan, op10_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
