@@ -99,6 +99,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import jaccard
+
+    found = jaccard.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), part=9, whole=10, size=3)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm import licenses
 
@@ -138,7 +145,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_exact_dedup, op2_substring_dedup, op3_lm_score, op4_top_k, op5_mix_sources, op6_language_id, op8_license_scan, op9_secret_scan, op10_byte_bpe]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_exact_dedup, op2_substring_dedup, op3_lm_score, op4_top_k, op5_mix_sources, op6_language_id, op7_jaccard_join, op8_license_scan, op9_secret_scan, op10_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
