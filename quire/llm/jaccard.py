@@ -137,8 +137,8 @@ def _profiles(batches, classes, size: int, part: int, whole: int) -> Iterator[pa
             f1, f2 = (mixed[at[1:]] - mixed[at[:-1]]).view(np.int64), (plain[at[1:]] - plain[at[:-1]]).view(np.int64)
             found = [prefix(grams[a:e], held, part, whole) if e > a else (0, grams[:0]) for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [s.column("id"), pa.array(np.diff(at)), pa.array(f1), pa.array(f2), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1].tobytes() for f in found], pa.binary())],
-                names=["id", "n", "f1", "f2", "l", "prefix"],
+                [s.column("id"), s.column("row"), pa.array(np.diff(at)), pa.array(f1), pa.array(f2), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1].tobytes() for f in found], pa.binary())],
+                names=["id", "row", "n", "f1", "f2", "l", "prefix"],
             )
 
 
@@ -296,19 +296,22 @@ def _verified(batches, part: int, whole: int) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and rid (a row number) of every row; similar means part / whole at least."""
+    """doc_id, n_shingles, component_id, row (a hash of id and text) and kept of every row.
+
+    Similar means part / whole at least. kept: true for one row of each component, the first by id.
+    """
     s = scratch or Scratch(df.sparkSession)
     spark = df.sparkSession
-    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
     classes = spark.sparkContext.broadcast(frequency_classes(docs, size, s))  # CELLS bytes
     kind = df.schema[doc_id].dataType.simpleString()
-    profiles = docs.mapInArrow(lambda b: _profiles(b, classes, size, part, whole), f"id {kind}, n long, f1 long, f2 long, l int, prefix binary")
+    profiles = docs.mapInArrow(lambda b: _profiles(b, classes, size, part, whole), f"id {kind}, row long, n long, f1 long, f2 long, l int, prefix binary")
     profiles = s.write(profiles.withColumn("rid", F.monotonically_increasing_id()), "profiles")
     # Equal sets are one node, named by its least row; rows without shingles are nodes of their own.
     groups = profiles.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("node"), F.min("id").alias("least"))
     rows = profiles.where("n > 0").join(groups, ["f1", "f2", "n"])
     first = F.col("rid") == F.col("node")
-    rows = s.write(rows.select("rid", "id", "n", "node", "least", "f1", "f2", F.when(first, F.col("l")).alias("l"), F.when(first, F.col("prefix")).alias("prefix")), "rows")
+    rows = s.write(rows.select("rid", "id", "row", "n", "node", "least", "f1", "f2", F.when(first, F.col("l")).alias("l"), F.when(first, F.col("prefix")).alias("prefix")), "rows")
     nodes = rows.where(first).select("node", "id", "least", "n", "l", "prefix", "f1", "f2")
     buckets = max(64, nodes.count() // NODES_A_BUCKET)
     entries = nodes.select("node", "n", "l", "prefix").mapInArrow(lambda b: _entries(b, buckets), _DEALT)
@@ -336,11 +339,28 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
         edges = links if edges is None else edges.union(links)
         nodes_labels = components(edges, s)
     linked = nodes.select("node", "least").join(nodes_labels, "node")
-    least = linked.groupBy("label").agg(F.min("least").alias("component"))
-    of = linked.select("node", "label").join(least, "label").select("node", "component")
-    full = rows.select("rid", "id", "n", "node", "least").join(of, "node", "left").select("rid", "id", "n", F.coalesce("component", "least").alias("component"))
-    empty = profiles.where("n = 0").select("rid", "id", "n", F.col("id").alias("component"))
-    return full.unionByName(empty).select("rid", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # Of each component: the row of the least id, and of equal ids the first. A node's first row of the least id:
+    heads = rows.where(F.col("id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.min("rid").alias("head"))
+    firsts = linked.join(heads, "node").groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "head")).alias("first"))
+    of = linked.select("node", "label").join(firsts, "label").select("node", F.col("first.least").alias("component"), F.col("first.head").alias("first"))
+    full = rows.select("rid", "id", "row", "n", "node", "least").join(of, "node", "left").join(heads, "node")
+    own = F.col("rid") == F.coalesce("first", "head")
+    full = full.select("id", "row", "n", F.when(F.col("first").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"), own.alias("kept"))
+    empty = profiles.where("n = 0").select("id", "row", "n", F.col("id").alias("component"), F.lit(True).alias("kept"))
+    return full.unionByName(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "row", "kept")
+
+
+def one_of_each(df: DataFrame, part: int = 4, whole: int = 5, size: int = 5, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+    """The rows that stay, with all their columns: one of each component, and all without shingles."""
+    s = scratch or Scratch(df.sparkSession)
+    found = s.write(near_duplicates(df, part, whole, size, text, doc_id, s).select("row", "kept", "n_shingles"), "components")
+    gone = found.groupBy("row").agg(F.bool_or("kept").alias("any"), F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    gone = s.write(gone, "gone")
+    row = F.xxhash64(doc_id, text)
+    kept = df.join(gone.where("not any").select(F.col("row").alias("_row")), row == F.col("_row"), "left_anti")
+    if gone.where("any and n > 1 and size > 0").isEmpty():
+        return kept
+    return kept.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).dropDuplicates([doc_id, text]).unionByName(kept.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
 
 
 def _width(spark) -> int:

@@ -141,3 +141,23 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed
     base = F.floor(F.col("total") / F.col("n"))
     copies = base + F.when(F.col("j") <= F.col("total") - base * F.col("n"), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mixed_documents(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of documents, each as often as the mix takes it, with all their columns."""
+    s = scratch or Scratch(df.sparkSession)
+    row = F.xxhash64("doc_id", "source", "text")
+    # Rows of one hash are taken together: the unit's id is the hash.
+    taken = mix(df.select(row.alias("doc_id"), "source", "text"), weights, most, seed, scratch=s)
+    taken = s.write(taken.where("copies > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_total"), F.count("*").alias("_n")), "taken")
+    repeated = df.groupBy(row.alias("_row")).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    joined = df.withColumn("_row", row).join(taken, "_row")
+    if repeated.isEmpty():
+        times = F.col("_total")
+    else:  # equal rows share their copies
+        joined = joined.join(repeated, "_row", "left")
+        n, j = F.coalesce("_rows", F.lit(1)), F.row_number().over(Window.partitionBy("_row").orderBy("doc_id"))
+        base = F.floor(F.col("_total") / n)
+        times = base + F.when(j <= F.col("_total") - base * n, 1).otherwise(0)
+    spread = joined.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return spread.select(*df.columns)
