@@ -308,7 +308,8 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
     profiles = docs.mapInArrow(lambda b: _profiles(b, classes, size, part, whole), f"id {kind}, row long, n long, f1 long, f2 long, l int, prefix binary")
     profiles = s.write(profiles.withColumn("rid", F.monotonically_increasing_id()), "profiles")
     # Equal sets are one node, named by its least row; rows without shingles are nodes of their own.
-    groups = profiles.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("node"), F.min("id").alias("least"))
+    # Groups are written before they are joined back: a join of two shuffled tables can split a large group's rows.
+    groups = s.write(profiles.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("node"), F.min("id").alias("least")), "groups")
     rows = profiles.where("n > 0").join(groups, ["f1", "f2", "n"])
     first = F.col("rid") == F.col("node")
     rows = s.write(rows.select("rid", "id", "row", "n", "node", "least", "f1", "f2", F.when(first, F.col("l")).alias("l"), F.when(first, F.col("prefix")).alias("prefix")), "rows")
@@ -340,8 +341,8 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
         nodes_labels = components(edges, s)
     linked = nodes.select("node", "least").join(nodes_labels, "node")
     # Of each component: the row of the least id, and of equal ids the first. A node's first row of the least id:
-    heads = rows.where(F.col("id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.min("rid").alias("head"))
-    firsts = linked.join(heads, "node").groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "head")).alias("first"))
+    heads = s.write(rows.where(F.col("id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.min("rid").alias("head")), "heads")
+    firsts = s.write(linked.join(heads, "node").groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "head")).alias("first")), "firsts")
     of = linked.select("node", "label").join(firsts, "label").select("node", F.col("first.least").alias("component"), F.col("first.head").alias("first"))
     full = rows.select("rid", "id", "row", "n", "node", "least").join(of, "node", "left").join(heads, "node")
     own = F.col("rid") == F.coalesce("first", "head")
