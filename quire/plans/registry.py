@@ -617,6 +617,73 @@ def toc_page_run(spark, d):
     return outline.toc_pages(flags, 4)
 
 
+_WRONG = "(doc_id * 3 + list_index) % 4 = 1"
+
+
+@_query(
+    f"""WITH {_ITEMS}{_CUT}, m AS (SELECT *, CASE WHEN NOT ({_WRONG}) THEN physical_index END AS sure FROM cut), b AS (
+SELECT doc_id, list_index, {_WRONG} AS wrong, coalesce(last_value(sure IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY list_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_index,
+  coalesce(first_value(sure IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY list_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n_pages) AS next_index FROM m)
+SELECT doc_id, list_index, prev_index, next_index FROM b WHERE wrong"""
+)
+def toc_correct_bounds(spark, d):
+    """Where a wrong item can be: between the nearest items that are right."""
+    x = outline.neighbour_bounds(_cut(spark, d), _page_counts(spark, d), usable=~F.expr(_WRONG))
+    return x.where(_WRONG).select("doc_id", "list_index", "prev_index", "next_index")
+
+
+@_query(f"WITH {_ITEMS} SELECT doc_id, list_index, CASE WHEN {_WRONG} THEN list_index + 1 ELSE physical_index END AS physical_index FROM items")
+def toc_put_back(spark, d):
+    items = toc_items(spark, d)
+    fixes = items.where(_WRONG).select("doc_id", "list_index", (F.col("list_index") + 1).alias("physical_index"))
+    return outline.put_back(items, fixes).select("doc_id", "list_index", "physical_index")
+
+
+@_query(f"WITH {_MD} SELECT doc_id, count(*) AS n_nodes, count(*) FILTER (WHERE parent_seq IS NULL) AS n_roots FROM tree GROUP BY 1")
+def node_counts(spark, d):
+    return _tree(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("parent_seq").isNull(), 1)).alias("n_roots"))
+
+
+@_query(
+    f"""WITH {_MD} SELECT doc_id, '[' || string_agg('{{"title":' || to_json(title) || ',"node_id":"' || lpad(CAST(node_seq AS VARCHAR), 4, '0') || '","level":' || level || '}}', ',' ORDER BY node_seq) || ']' AS tree FROM sections GROUP BY 1"""
+)
+def tree_json(spark, d):
+    """Titles, ids and levels of each document in pre-order, as JSON."""
+    x = markdown.with_ids(markdown.sections(markdown_docs(spark, d)))
+    packed = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_seq", F.struct("title", "node_id", "level").alias("n")))).alias("ns"))
+    return packed.select("doc_id", F.to_json(F.transform("ns", lambda n: n.n)).alias("tree"))
+
+
+@_query(
+    """SELECT conv_id, 'Relevant sections:' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role AS turn_text FROM conversations WHERE turn = 0"""
+)
+def chat_user_turn(spark, d):
+    return _table(spark, d, "conversations").where("turn = 0").select("conv_id", search.user_turn(F.col("text"), F.col("role")).alias("turn_text"))
+
+
+@_query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'What crops are grown in clay soil?' WHEN doc_id % 3 = 1 THEN 'What was the revenue?' ELSE 'What is this document about?' END AS first_question FROM documents"""
+)
+def chat_suggested_questions(spark, d):
+    name = F.expr("element_at(array('Farmer data.csv', 'ANNUAL Report.pdf', 'notes.md'), cast(doc_id % 3 + 1 as int))")
+    return _table(spark, d, "documents").select("doc_id", X.suggested_questions(name)[0].alias("first_question"))
+
+
+def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Ten pages for every ten documents, each under a numbered title line."""
+    title = F.concat(F.col("page_no"), F.lit(" Part "), F.col("page_no"), F.lit("\n"))
+    return toc_pages_table(spark, d).withColumn("text", F.concat(title, "text"))
+
+
+@_query("SELECT doc_id // 10 AS doc_id, CAST(doc_id % 10 AS INT) AS list_index, CAST(doc_id % 10 + 1 AS VARCHAR) AS structure, 'Part ' || (doc_id % 10 + 1) AS title, CAST(doc_id % 10 + 1 AS INT) AS physical_index, 'yes' AS appear_start FROM documents")
+def outline_by_rules(spark, d):
+    """The whole ladder of outline strategies, with the rule-based provider."""
+    from quire.plans import structure
+    from quire.plans.provider import RuleProvider
+
+    return structure.outline_items(numbered_pages(spark, d), RuleProvider(), structure.Options(max_tokens_each_node=10**9))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to sections, postings and a ranked, cited search."""
     return search_multi_term(spark, sf_dir)
