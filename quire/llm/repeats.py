@@ -29,7 +29,7 @@ from quire.llm.wordhash import inverse_powers, mix, powers, words_of
 #: Words of a window, and of the grams that seeds are.
 WINDOW, GRAM = 13, 5
 #: Bytes of text in a slice, and documents for each bucket.
-SLICE, DOCS_A_BUCKET = 8 << 20, 4000
+SLICE, DOCS_A_BUCKET = 2 << 20, 2000
 _Q = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
 
