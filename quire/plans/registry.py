@@ -180,9 +180,6 @@ def chat_history_last10(spark, d):
     return search.last_messages(_table(spark, d, "conversations")).drop("back")
 
 
-_REPLY = """'Terms: ["' || lower(source) || '", " Lang ' || lang || ' ", "x", 7, "n' || doc_id % 5 || '"] done'"""
-
-
 @_query(
     r"""WITH t AS (SELECT doc_id, [lower(source), 'lang ' || lang, 'n' || doc_id % 5] AS ts FROM documents)
 SELECT doc_id AS node_seq, term, CAST(ix + 1 AS INT) AS rank, round(1 - ix / 3, 6) AS score FROM (SELECT doc_id, unnest(ts) AS term, unnest(range(3)) AS ix FROM t)"""
@@ -240,8 +237,6 @@ def json_repair(spark, d):
 
 # ---------------------------------------------------------------- CSV, sheets, pages of text
 
-_CSV_LINE = "o_orderkey || {0} || o_orderstatus || {0} || o_orderpriority"
-
 
 @_query(
     """WITH f AS (SELECT o_orderkey AS doc_id, list_extract([',', ';', chr(9), '|'], CAST(o_orderkey % 4 + 1 AS INT)) AS s, o_orderstatus, o_orderpriority FROM orders)
@@ -278,9 +273,6 @@ def csv_page_text(spark, d):
     return csv_pages.pages(_customer_rows(spark, d), 10)
 
 
-_ORACLES["csv_page_text"] = _ORACLES["csv_page_text"].replace("'----|------|--------'", "'----|------|--------'".replace("----|------|--------", "---" + "-|-" + "----" + "-|-" + "-------"))
-
-
 @_query(
     f"""WITH {_ROWS},
 p AS (SELECT doc_id, CAST((row_no - 1) // 20 + 1 AS INT) AS part_no, row_no, a, b, c FROM rows),

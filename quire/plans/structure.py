@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import text as X
 from quire.operators import outline
 from quire.plans.provider import Provider, ask_rows, prompt, with_retries
 
@@ -374,4 +373,4 @@ def document_type(name: str | None, kind: str | None = None) -> str:
     raise ValueError(f"the format of {name!r} is not known")
 
 
-__all__ = ["Options", "Outliner", "Progress", "X", "build", "concept_terms", "descriptions", "document_type", "nested", "outline_items"]
+__all__ = ["Options", "Outliner", "Progress", "build", "concept_terms", "descriptions", "document_type", "nested", "outline_items"]

@@ -29,9 +29,9 @@ def test_csv_read(spark, tmp_path):
     (tmp_path / "b.csv").write_text("only;header")
     got = csv_pages.read(spark, str(tmp_path), rows_per_page=10).collect()
     pages = {(r.doc_id[-5:], r.page_no): r.text for r in got}
-    assert pages["a.csv", 1].splitlines()[:5] == ["[CSV Data — Rows 1–10 of total, Page 1/11]", "", "id | name", "----|-----".replace("----|-----", "----|-----") and "---" + "-|-" + "----", "0 | n0"]
+    assert pages["a.csv", 1].splitlines()[:5] == ["[CSV Data — Rows 1–10 of total, Page 1/11]", "", "id | name", "----|-----", "0 | n0"]
     assert pages["a.csv", 11].startswith("[CSV Data — Rows 51–55 of total, Page 11/11]")
-    assert pages["b.csv", 1] == "only | header\n-----|-------".replace("-----|-------", "----" + "-|-" + "------")
+    assert pages["b.csv", 1] == "only | header\n-----|-------"
     with pytest.raises(ValueError):
         csv_pages.parse(spark.createDataFrame([(1, "a")], "doc_id int, text string"), "ab")
 
@@ -48,7 +48,7 @@ def test_sheets(spark):
     rows = sheets.rows_of(files)
     got = sheets.pages(rows).collect()
     assert len(got) == 1
-    assert got[0].text == "=== Sheet: One (Part 1/1) ===\n\nhead       |  | c\n-----------|-|---".replace("-----------|-|---", "----------" + "-|-" + "" + "-|-" + "-") + "\nlong value |  | 7"
+    assert got[0].text == "=== Sheet: One (Part 1/1) ===\n\nhead       |  | c\n-----------|--|--\nlong value |  | 7"
     assert sheets.rows_of(files, ["Two"]).count() == 0
 
 
