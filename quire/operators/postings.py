@@ -26,8 +26,11 @@ def with_defaults(nodes: DataFrame) -> DataFrame:
 def term_frequencies(nodes: DataFrame, min_length: int = 3) -> DataFrame:
     """NODE, term, tf and first_pos. Nodes are dealt by key once; counting and ranking then need no other shuffle."""
     body = node_text(F.col("title"), F.col("summary"), F.col("prefix_summary"), F.col("text"))
-    dealt = with_defaults(nodes).select(*NODE, X.tokens(body).alias("tokens")).repartition("doc_id", "node_seq")
-    spread = dealt.select(*NODE, F.posexplode("tokens").alias("pos", "term")).where(X.index_term(F.col("term"), min_length))
+    # A given number of partitions: adaptive merging would go by the size of texts, which are small beside the work.
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = with_defaults(nodes).select(*NODE, body.alias("body")).repartition(n, "doc_id", "node_seq")
+    # The outer form, as for the other Spark would tokenise once more to drop empty texts; null terms go right after.
+    spread = dealt.select(*NODE, F.posexplode_outer(X.tokens(F.col("body"))).alias("pos", "term")).where(X.index_term(F.col("term"), min_length))
     return spread.groupBy(*NODE, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
