@@ -6,10 +6,12 @@ reach the similarity, then for any l the first n - need(n) + l shingles of one a
 other share at least l. Each document takes the l that costs least by the sketch's estimates: a longer prefix is read
 in more lists but asks for more shared shingles before a pair is verified. A pair must share the smaller l of the two.
 
-Equal sets are one node. Lists of the prefixes' shingles are gathered in buckets. As components are asked for, pairs
-inside one component need no test: first each list's members are tested against one pivot, twice with other pivots
-(which collapses groups of copies in linear work), then all pairs of a list whose components differ, block by block.
-Tests compare the whole sets. No link between different components' nodes is left out.
+Equal sets are one node. Lists of the prefixes' shingles are gathered in buckets; nodes with fewer shared shingles in
+all than any partner asks for go at once. Lists of up to LONG nodes give all their pairs. For long lists, components
+come first, as pairs inside one need no test: each list's members are tested against one pivot, twice with other
+pivots (which collapses groups of copies in linear work), then all pairs of a list whose components differ, block by
+block. Shared shingles are counted in short and in long lists apart; what a pair may share in the others is taken to
+be as much as its nodes have there. Tests compare the whole sets. No link between different components is left out.
 
 Defined results: a null text, and one without words, has no shingles, links with nothing and is its own component. A
 text under `size` words is one shingle. Rows of equal sets are one component, also rows with equal ids; the component
@@ -33,9 +35,11 @@ from quire.llm.wordhash import mix, words_of
 #: Cells of the frequency sketch, and the parts it is summed in.
 CELLS, PARTS = 1 << 21, 32
 #: Bytes of text in a slice, nodes for each bucket of lists, longest extra prefix, cost of a test in list entries.
-SLICE, NODES_A_BUCKET, MOST, TEST = 8 << 20, 4000, 8, 8
+SLICE, NODES_A_BUCKET, MOST, TEST = 2 << 20, 4000, 8, 8
 #: Members of a list that meet at once, and rounds with pivots before all pairs are met.
 BLOCK, STARS = 1024, 2
+#: Lists of more nodes than this are long.
+LONG = 32
 _Q = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,9 +146,11 @@ def _profiles(batches, classes, size: int, part: int, whole: int) -> Iterator[pa
             )
 
 
-#: An entry of a list: shingle, node, size of its set and its l.
-_ENTRY = np.dtype([("gram", "<u8"), ("node", "<i8"), ("n", "<u4"), ("l", "u1")])
-_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("shared", "<u2"), ("least", "u1")])
+#: An entry of a list: shingle, node, size of its set and its l; whether the list is long, and how many shingles the
+#: node has in short and in long lists.
+_ENTRY = np.dtype([("gram", "<u8"), ("node", "<i8"), ("n", "<u4"), ("l", "u1"), ("long", "u1"), ("short_n", "<u2"), ("long_n", "<u2")])
+#: A pair, the shingles it shares as counted, at most in the lists not counted, and at least by the smaller l.
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("shared", "<u2"), ("more", "<u2"), ("least", "u1")])
 
 
 def _deal(to: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -164,23 +170,47 @@ def _entries(batches, buckets: int) -> Iterator[pa.RecordBatch]:
         for s in slices(b, "prefix", SLICE):
             grams = [np.frombuffer(x, "<u8") for x in s.column("prefix").to_pylist()]
             sizes = [len(g) for g in grams]
-            rows = np.empty(sum(sizes), _ENTRY)
+            rows = np.zeros(sum(sizes), _ENTRY)
             rows["gram"] = np.concatenate(grams) if grams else []
             for name in ("node", "n", "l"):
                 rows[name] = np.repeat(s.column(name).to_numpy(), sizes)
             yield from _deal((rows["gram"] % np.uint64(buckets)).astype(np.int64), rows, buckets)
 
 
+def _shared(rows: np.ndarray) -> np.ndarray:
+    """The entries of shingles that at least two nodes have."""
+    if not len(rows):
+        return rows
+    same = rows["gram"][1:] == rows["gram"][:-1]
+    return rows[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+
+
 def _lists(part: pa.Table) -> pa.Table:
-    """The entries of shingles that at least two nodes have, sorted by shingle and size of the set."""
+    """A bucket's lists, sorted by shingle and size of the set."""
     rows = np.concatenate([np.frombuffer(x, _ENTRY) for x in part.column("rows").to_pylist()])
-    rows = rows[np.lexsort((rows["node"], rows["n"], rows["gram"]))]
-    gram = rows["gram"]
-    same = gram[1:] == gram[:-1]
-    rows = rows[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(rows) else rows
+    rows = _shared(rows[np.lexsort((rows["node"], rows["n"], rows["gram"]))]).copy()
+    size = np.diff(_bounds(rows))
+    rows["long"] = np.repeat(size > LONG, size) if len(rows) else 0
     return pa.table({"bucket": part.column("bucket")[:1], "rows": [rows.tobytes()]})
 
 
+def _node_counts(batches) -> Iterator[pa.RecordBatch]:
+    """node, its shingles in short and in long lists of a bucket, and the least l among it and its list mates."""
+    for b in batches:
+        for data in b.column("rows").to_pylist():
+            rows = np.frombuffer(data, _ENTRY)
+            if not len(rows):
+                continue
+            at = _bounds(rows)
+            least = np.repeat(np.minimum.reduceat(rows["l"], at[:-1]), np.diff(at))
+            order = np.argsort(rows["node"], kind="stable")
+            node = rows["node"][order]
+            new = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            long = rows["long"][order].astype(np.int64)
+            cols = [node[new], np.add.reduceat(1 - long, new), np.add.reduceat(long, new), np.minimum.reduceat(least[order], new).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "short_n", "long_n", "least"])
+
+
 def _bounds(rows: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))), len(rows)) if len(rows) else np.zeros(1, np.int64)
 
@@ -196,8 +226,10 @@ def _uniq(pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _pairs(x: np.ndarray, y: np.ndarray, others: str) -> np.ndarray:
+    """others: the count of a node's shingles in the lists that are not counted."""
     out = np.empty(len(x), _PAIR)
+    out["more"] = np.minimum(x[others], y[others])
     swap = x["node"] > y["node"]
     out["a"], out["b"] = np.where(swap, y["node"], x["node"]), np.where(swap, x["node"], y["node"])
     out["shared"], out["least"] = 1, np.minimum(x["l"], y["l"])
@@ -216,6 +248,15 @@ def _labelled(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.frombuffer(rows, _ENTRY), np.frombuffer(labels, np.int64)
 
 
+def _short_lists(batches) -> Iterator[pa.RecordBatch]:
+    """Short lists as blocks, each node its own component."""
+    for b in batches:
+        for data in b.column("rows").to_pylist():
+            rows = np.frombuffer(data, _ENTRY)
+            rows = rows[rows["long"] == 0]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (rows.tobytes(), rows["node"].tobytes(), b"", b"")], names=["rows", "labels", "rows2", "labels2"])
+
+
 def _stars(batches, which: int, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
     """Each list's members against one of them, which differs by round, where their components differ."""
     for rows, label in _labelled(batches):
@@ -226,7 +267,7 @@ def _stars(batches, which: int, buckets: int, part: int, whole: int) -> Iterator
             order = np.lexsort((score, np.repeat(np.arange(len(at) - 1), np.diff(at))))
             pivot = np.repeat(order[at[:-1]], np.diff(at))
             use = (label != label[pivot]) & _near(rows["n"], rows["n"][pivot], part, whole)
-            pairs = _uniq(_pairs(rows[use], rows[pivot[use]]))
+            pairs = _uniq(_pairs(rows[use], rows[pivot[use]], "short_n"))
             pairs["shared"] = 65535  # shared shingles of a star aren't all counted
             yield from _deal((mix(pairs["a"].astype(np.uint64) * _Q + pairs["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), pairs, buckets)
 
@@ -255,7 +296,7 @@ def _blocks(batches, part: int, whole: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in c], names=["rows", "labels", "rows2", "labels2"])
 
 
-def _met(batches, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
+def _met(batches, buckets: int, part: int, whole: int, others: str) -> Iterator[pa.RecordBatch]:
     """Pairs of unlike components in the same list."""
     for b in batches:
         for r1, l1, r2, l2 in zip(*(b.column(c).to_pylist() for c in ("rows", "labels", "rows2", "labels2")), strict=True):
@@ -264,13 +305,13 @@ def _met(batches, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatc
             if r2:
                 y, ly = np.frombuffer(r2, _ENTRY), np.frombuffer(l2, np.int64)
                 i, j = np.nonzero((lx[:, None] != ly) & _near(x["n"][:, None], y["n"], part, whole))
-                found.append(_pairs(x[i], y[j]))
+                found.append(_pairs(x[i], y[j], others))
             else:
                 at = _bounds(x)
                 for gap in range(1, int(np.diff(at).max(initial=1))):
                     i = np.flatnonzero(x["gram"][:-gap] == x["gram"][gap:])
                     i = i[(lx[i] != lx[i + gap]) & _near(x["n"][i], x["n"][i + gap], part, whole)]
-                    found.append(_pairs(x[i], x[i + gap]))
+                    found.append(_pairs(x[i], x[i + gap], others))
                     if len(found) > 64:
                         found = [_uniq(np.concatenate(found))]
             pairs = _uniq(np.concatenate(found)) if found else np.zeros(0, _PAIR)
@@ -278,9 +319,9 @@ def _met(batches, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatc
 
 
 def _candidates(part: pa.Table) -> pa.Table:
-    """Distinct pairs that share as many shingles as the smaller l asks for."""
+    """Distinct pairs that can share as many shingles as the smaller l asks for."""
     pairs = _uniq(np.concatenate([np.frombuffer(x, _PAIR) for x in part.column("rows").to_pylist()]))
-    pairs = pairs[pairs["shared"] >= pairs["least"]]
+    pairs = pairs[pairs["shared"].astype(np.int64) + pairs["more"] >= pairs["least"]]
     return pa.table({"a": pa.array(pairs["a"], pa.int64()), "b": pa.array(pairs["b"], pa.int64())})
 
 
@@ -313,32 +354,40 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
     rows = profiles.where("n > 0").join(groups, ["f1", "f2", "n"])
     first = F.col("rid") == F.col("node")
     rows = s.write(rows.select("rid", "id", "row", "n", "node", "least", "f1", "f2", F.when(first, F.col("l")).alias("l"), F.when(first, F.col("prefix")).alias("prefix")), "rows")
-    nodes = rows.where(first).select("node", "id", "least", "n", "l", "prefix", "f1", "f2")
+    empty = s.write(profiles.where("n = 0").select("id", "row", "n"), "empty")
+    s.drop(profiles)
+    nodes = rows.where(first).select("node", "row", "least", "n", "l", "prefix")
     buckets = max(64, nodes.count() // NODES_A_BUCKET)
     entries = nodes.select("node", "n", "l", "prefix").mapInArrow(lambda b: _entries(b, buckets), _DEALT)
-    lists = s.write(entries.groupBy("bucket").applyInArrow(_lists, _DEALT), "lists")
-    labels = nodes_labels = None
-    sets = _sets(docs, nodes, lists, size, s)
+    every = s.write(entries.groupBy("bucket").applyInArrow(_lists, _DEALT), "every-list")
+    # A node whose shared shingles are fewer than any partner asks for has no links.
+    counts = every.mapInArrow(_node_counts, "node long, short_n long, long_n long, least long").groupBy("node").agg(F.sum("short_n").alias("short_n"), F.sum("long_n").alias("long_n"), F.min("least").alias("least"))
+    live = s.write(counts.where("short_n + long_n >= least"), "live")
+    lists = s.write(_living(every, live), "lists")
+    s.drop(every)
+    sets = _sets(docs, rows, nodes, live, size, s)
 
     def verify(dealt: DataFrame, name: str) -> DataFrame:
-        pairs = dealt.groupBy("bucket").applyInArrow(_candidates, "a long, b long")
+        pairs = s.write(dealt.groupBy("bucket").applyInArrow(_candidates, "a long, b long"), f"pairs-{name}")
         one, two = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "ab")
         return s.write(pairs.join(two, "b").join(one, "a").mapInArrow(lambda b: _verified(b, part, whole), "a long, b long"), name)
 
-    edges = None
+    block = "rows binary, labels binary, rows2 binary, labels2 binary"
+    edges = verify(lists.select("rows").mapInArrow(_short_lists, block).mapInArrow(lambda b: _met(b, buckets, part, whole, "long_n"), _DEALT), "links")
+    nodes_labels = components(edges, s)
     for which in range(STARS + 1):
-        labels = nodes_labels
-        seen = _with_labels(lists, labels, s)
+        seen = _with_labels(lists, nodes_labels, s)
+        if seen.isEmpty():
+            break
         if which < STARS:
             dealt = seen.mapInArrow(lambda b, w=which: _stars(b, w, buckets, part, whole), _DEALT)
         else:
-            blocks = seen.mapInArrow(lambda b: _blocks(b, part, whole), "rows binary, labels binary, rows2 binary, labels2 binary")
-            dealt = blocks.repartition(_width(spark)).mapInArrow(lambda b: _met(b, buckets, part, whole), _DEALT)
+            blocks = seen.mapInArrow(lambda b: _blocks(b, part, whole), block)
+            dealt = blocks.repartition(_width(spark)).mapInArrow(lambda b: _met(b, buckets, part, whole, "short_n"), _DEALT)
         links = verify(dealt, f"links{which}")
-        if which and links.isEmpty():
-            continue
-        edges = links if edges is None else edges.union(links)
-        nodes_labels = components(edges, s)
+        if not links.isEmpty():
+            edges = edges.union(links)
+            nodes_labels = components(edges, s)
     linked = nodes.select("node", "least").join(nodes_labels, "node")
     # Of each component: the row of the least id, and of equal ids the first. A node's first row of the least id:
     heads = s.write(rows.where(F.col("id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.min("rid").alias("head")), "heads")
@@ -347,7 +396,7 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
     full = rows.select("rid", "id", "row", "n", "node", "least").join(of, "node", "left").join(heads, "node")
     own = F.col("rid") == F.coalesce("first", "head")
     full = full.select("id", "row", "n", F.when(F.col("first").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"), own.alias("kept"))
-    empty = profiles.where("n = 0").select("id", "row", "n", F.col("id").alias("component"), F.lit(True).alias("kept"))
+    empty = empty.select("id", "row", "n", F.col("id").alias("component"), F.lit(True).alias("kept"))
     return full.unionByName(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "row", "kept")
 
 
@@ -368,50 +417,65 @@ def _width(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, lists: DataFrame, size: int, s: Scratch) -> DataFrame:
-    """node and its whole set, sorted, for the nodes of lists."""
-
-    def ids(batches):
-        for b in batches:
-            for rows in b.column("rows").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(rows, _ENTRY)["node"]))], names=["node"])
+def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, live: DataFrame, size: int, s: Scratch) -> DataFrame:
+    """node and its whole set, sorted, for the live nodes."""
 
     def sets(batches):
         for b in batches:
             for part in slices(b, "text", SLICE):
                 grams, at = shingle_sets(part.column("text"), size)
-                mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams ^ _Q), dtype=np.uint64)))
-                own = (mixed[at[1:]] - mixed[at[:-1]]).view(np.int64) == part.column("f1").to_numpy()  # rows may share an id
-                some = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("node").to_numpy()[some]), pa.array([grams[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "grams"])
 
-    asked = lists.mapInArrow(ids, "node long").distinct()
-    asked = s.write(nodes.select("node", F.col("id").alias("of"), "f1").join(asked, "node", "left_semi"), "asked")
-    found = docs.where("text is not null").join(asked, F.col("id").eqNullSafe(F.col("of"))).select("node", "f1", "text").mapInArrow(sets, "node long, grams binary")
-    return s.write(found.dropDuplicates(["node"]), "sets")
+    asked = s.write(nodes.join(live.select("node"), "node", "left_semi").select("node", F.col("row").alias("of")), "asked")
+    found = docs.join(asked, F.col("row") == F.col("of")).select("node", "text").mapInArrow(sets, "node long, grams binary")
+    if rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return s.write(found, "sets")
+    return s.write(found.dropDuplicates(["node"]), "sets")  # rows that share id and text
 
 
-def _with_labels(lists: DataFrame, labels: DataFrame | None, s: Scratch) -> DataFrame:
-    """The lists with the component of each entry's node (its own number where it has no links)."""
-    if labels is None:
+def _living(lists: DataFrame, live: DataFrame) -> DataFrame:
+    """The lists of live nodes, with the counts of each."""
 
-        def own(batches):
-            for b in batches:
-                rows = b.column("rows").to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column("rows"), pa.array([np.frombuffer(r, _ENTRY)["node"].tobytes() for r in rows], pa.binary())], names=["rows", "labels"])
+    def asks(batches):
+        for b in batches:
+            for k, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                node = np.unique(np.frombuffer(rows, _ENTRY)["node"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(node), pa.int64()), pa.array(node)], names=["bucket", "node"])
+
+    def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = np.frombuffer(left.column("rows")[0].as_py(), _ENTRY).copy() if left.num_rows else np.zeros(0, _ENTRY)
+        node = right.column("node").to_numpy()
+        if len(node) and len(rows):
+            order = np.argsort(node)
+            at = np.minimum(np.searchsorted(node[order], rows["node"]), len(node) - 1)
+            hit = node[order][at] == rows["node"]
+            rows, at = rows[hit], order[at[hit]]
+            for c in ("short_n", "long_n"):
+                rows[c] = np.minimum(right.column(c).to_numpy()[at], 65535)
+            rows = _shared(rows)
+        else:
+            rows = rows[:0]
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([rows.tobytes()], pa.binary())})
+
+    known = lists.mapInArrow(asks, "bucket long, node long").join(live, "node").select("bucket", "node", "short_n", "long_n")
+    return lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(fill, _DEALT)
 
-        return lists.select("rows").mapInArrow(own, "rows binary, labels binary")
+
+def _with_labels(lists: DataFrame, labels: DataFrame, s: Scratch) -> DataFrame:
+    """The long lists that hold several components, with the component of each entry's node (itself without links)."""
 
     def asks(batches):
         for b in batches:
             for k, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                node = np.unique(np.frombuffer(rows, _ENTRY)["node"])
+                rows = np.frombuffer(rows, _ENTRY)
+                node = np.unique(rows["node"][rows["long"] == 1])
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(node), pa.int64()), pa.array(node)], names=["bucket", "node"])
 
     def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"rows": pa.array([], pa.binary()), "labels": pa.array([], pa.binary())})
         rows = np.frombuffer(left.column("rows")[0].as_py(), _ENTRY)
+        rows = rows[rows["long"] == 1]
         node, label = (right.column(c).to_numpy() for c in ("node", "label"))
         order = np.argsort(node)
         own = rows["node"].copy()
@@ -429,4 +493,5 @@ def _with_labels(lists: DataFrame, labels: DataFrame | None, s: Scratch) -> Data
         return pa.table({"rows": pa.array([rows.tobytes()], pa.binary()), "labels": pa.array([own.tobytes()], pa.binary())})
 
     known = lists.mapInArrow(asks, "bucket long, node long").join(labels, "node").select("bucket", "node", "label")
-    return s.write(lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(fill, "rows binary, labels binary"), "labelled")
+    found = lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(fill, "rows binary, labels binary")
+    return s.write(found.where(F.length("rows") > 0), "labelled")

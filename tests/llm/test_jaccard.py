@@ -54,9 +54,10 @@ def test_sets():
     assert grams[at[2]] == grams[at[4]] and set(grams[at[0] : at[1]]) < set(grams[at[5] : at[6]])
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_query(spark, tmp_path, monkeypatch, seed):
+@pytest.mark.parametrize("seed,long", [(1, 32), (2, 6)])
+def test_query(spark, tmp_path, monkeypatch, seed, long):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "LONG", long)
     rows = make(seed)
     d = str(tmp_path)
     spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(3).write.parquet(f"{d}/documents.parquet")
