@@ -9,9 +9,10 @@ in more lists but asks for more shared shingles before a pair is verified. A pai
 Equal sets are one node. Lists of the prefixes' shingles are gathered in buckets; nodes with fewer shared shingles in
 all than any partner asks for go at once. Lists of up to LONG nodes give all their pairs. For long lists, components
 come first, as pairs inside one need no test: each list's members are tested against one pivot, twice with other
-pivots (which collapses groups of copies in linear work), then all pairs of a list whose components differ, block by
-block. Shared shingles are counted in short and in long lists apart; what a pair may share in the others is taken to
-be as much as its nodes have there. Tests compare the whole sets. No link between different components is left out.
+pivots (which collapses groups of copies in linear work), then all pairs
+whose components differ, block by block. At first, what a pair may share in long lists is taken to be as much as its
+nodes have there; at the end, short and long lists are counted together, and pairs that share enough, with a long list
+among it, are tested. Tests compare the whole sets. No link between different components is left out.
 
 Defined results: a null text, and one without words, has no shingles, links with nothing and is its own component. A
 text under `size` words is one shingle. Rows of equal sets are one component, also rows with equal ids; the component
@@ -223,13 +224,14 @@ def _uniq(pairs: np.ndarray) -> np.ndarray:
     new = np.flatnonzero(np.concatenate(([True], (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1]))))
     out = pairs[new].copy()
     out["shared"] = np.minimum(np.add.reduceat(pairs["shared"].astype(np.int64), new), 65535)
+    out["more"] = np.maximum.reduceat(pairs["more"], new)
     return out
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, others: str) -> np.ndarray:
-    """others: the count of a node's shingles in the lists that are not counted."""
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """more: what the pair can share in long lists; of members of a long list, as this is counted, 1."""
     out = np.empty(len(x), _PAIR)
-    out["more"] = np.minimum(x[others], y[others])
+    out["more"] = np.where(x["long"] == 1, 1, np.minimum(x["long_n"], y["long_n"]))
     swap = x["node"] > y["node"]
     out["a"], out["b"] = np.where(swap, y["node"], x["node"]), np.where(swap, x["node"], y["node"])
     out["shared"], out["least"] = 1, np.minimum(x["l"], y["l"])
@@ -267,7 +269,7 @@ def _stars(batches, which: int, buckets: int, part: int, whole: int) -> Iterator
             order = np.lexsort((score, np.repeat(np.arange(len(at) - 1), np.diff(at))))
             pivot = np.repeat(order[at[:-1]], np.diff(at))
             use = (label != label[pivot]) & _near(rows["n"], rows["n"][pivot], part, whole)
-            pairs = _uniq(_pairs(rows[use], rows[pivot[use]], "short_n"))
+            pairs = _uniq(_pairs(rows[use], rows[pivot[use]]))
             pairs["shared"] = 65535  # shared shingles of a star aren't all counted
             yield from _deal((mix(pairs["a"].astype(np.uint64) * _Q + pairs["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), pairs, buckets)
 
@@ -296,7 +298,7 @@ def _blocks(batches, part: int, whole: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in c], names=["rows", "labels", "rows2", "labels2"])
 
 
-def _met(batches, buckets: int, part: int, whole: int, others: str) -> Iterator[pa.RecordBatch]:
+def _met(batches, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
     """Pairs of unlike components in the same list."""
     for b in batches:
         for r1, l1, r2, l2 in zip(*(b.column(c).to_pylist() for c in ("rows", "labels", "rows2", "labels2")), strict=True):
@@ -305,23 +307,29 @@ def _met(batches, buckets: int, part: int, whole: int, others: str) -> Iterator[
             if r2:
                 y, ly = np.frombuffer(r2, _ENTRY), np.frombuffer(l2, np.int64)
                 i, j = np.nonzero((lx[:, None] != ly) & _near(x["n"][:, None], y["n"], part, whole))
-                found.append(_pairs(x[i], y[j], others))
+                found.append(_pairs(x[i], y[j]))
             else:
                 at = _bounds(x)
                 for gap in range(1, int(np.diff(at).max(initial=1))):
                     i = np.flatnonzero(x["gram"][:-gap] == x["gram"][gap:])
                     i = i[(lx[i] != lx[i + gap]) & _near(x["n"][i], x["n"][i + gap], part, whole)]
-                    found.append(_pairs(x[i], x[i + gap], others))
+                    found.append(_pairs(x[i], x[i + gap]))
                     if len(found) > 64:
                         found = [_uniq(np.concatenate(found))]
             pairs = _uniq(np.concatenate(found)) if found else np.zeros(0, _PAIR)
             yield from _deal((mix(pairs["a"].astype(np.uint64) * _Q + pairs["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), pairs, buckets)
 
 
-def _candidates(part: pa.Table) -> pa.Table:
-    """Distinct pairs that can share as many shingles as the smaller l asks for."""
+def _candidates(part: pa.Table, last: bool) -> pa.Table:
+    """Distinct pairs that share as many shingles as the smaller l asks for.
+
+    At first with what they can share in long lists; at last, all is counted, and pairs without a long list are done.
+    """
     pairs = _uniq(np.concatenate([np.frombuffer(x, _PAIR) for x in part.column("rows").to_pylist()]))
-    pairs = pairs[pairs["shared"].astype(np.int64) + pairs["more"] >= pairs["least"]]
+    if last:
+        pairs = pairs[(pairs["shared"] >= pairs["least"]) & (pairs["more"] > 0)]
+    else:
+        pairs = pairs[pairs["shared"].astype(np.int64) + pairs["more"] >= pairs["least"]]
     return pa.table({"a": pa.array(pairs["a"], pa.int64()), "b": pa.array(pairs["b"], pa.int64())})
 
 
@@ -367,24 +375,24 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
     s.drop(every)
     sets = _sets(docs, rows, nodes, live, size, s)
 
-    def verify(dealt: DataFrame, name: str) -> DataFrame:
-        pairs = s.write(dealt.groupBy("bucket").applyInArrow(_candidates, "a long, b long"), f"pairs-{name}")
+    def verify(dealt: DataFrame, name: str, last: bool = False) -> DataFrame:
+        pairs = s.write(dealt.groupBy("bucket").applyInArrow(lambda t: _candidates(t, last), "a long, b long"), f"pairs-{name}")
         one, two = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "ab")
         return s.write(pairs.join(two, "b").join(one, "a").mapInArrow(lambda b: _verified(b, part, whole), "a long, b long"), name)
 
     block = "rows binary, labels binary, rows2 binary, labels2 binary"
-    edges = verify(lists.select("rows").mapInArrow(_short_lists, block).mapInArrow(lambda b: _met(b, buckets, part, whole, "long_n"), _DEALT), "links")
+    edges = verify(lists.select("rows").mapInArrow(_short_lists, block).mapInArrow(lambda b: _met(b, buckets, part, whole), _DEALT), "links")
     nodes_labels = components(edges, s)
     for which in range(STARS + 1):
-        seen = _with_labels(lists, nodes_labels, s)
+        seen = _with_labels(lists, nodes_labels, which < STARS, s)
         if seen.isEmpty():
             break
         if which < STARS:
             dealt = seen.mapInArrow(lambda b, w=which: _stars(b, w, buckets, part, whole), _DEALT)
         else:
             blocks = seen.mapInArrow(lambda b: _blocks(b, part, whole), block)
-            dealt = blocks.repartition(_width(spark)).mapInArrow(lambda b: _met(b, buckets, part, whole, "short_n"), _DEALT)
-        links = verify(dealt, f"links{which}")
+            dealt = blocks.repartition(_width(spark)).mapInArrow(lambda b: _met(b, buckets, part, whole), _DEALT)
+        links = verify(dealt, f"links{which}", which == STARS)
         if not links.isEmpty():
             edges = edges.union(links)
             nodes_labels = components(edges, s)
@@ -461,21 +469,21 @@ def _living(lists: DataFrame, live: DataFrame) -> DataFrame:
     return lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(fill, _DEALT)
 
 
-def _with_labels(lists: DataFrame, labels: DataFrame, s: Scratch) -> DataFrame:
-    """The long lists that hold several components, with the component of each entry's node (itself without links)."""
+def _with_labels(lists: DataFrame, labels: DataFrame, long_only: bool, s: Scratch) -> DataFrame:
+    """The lists (long_only: the long ones) that hold several components, with the component of each entry's node (itself without links)."""
 
     def asks(batches):
         for b in batches:
             for k, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist(), strict=True):
                 rows = np.frombuffer(rows, _ENTRY)
-                node = np.unique(rows["node"][rows["long"] == 1])
+                node = np.unique(rows["node"][rows["long"] == 1] if long_only else rows["node"])
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(node), pa.int64()), pa.array(node)], names=["bucket", "node"])
 
     def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"rows": pa.array([], pa.binary()), "labels": pa.array([], pa.binary())})
         rows = np.frombuffer(left.column("rows")[0].as_py(), _ENTRY)
-        rows = rows[rows["long"] == 1]
+        rows = rows[rows["long"] == 1] if long_only else rows
         node, label = (right.column(c).to_numpy() for c in ("node", "label"))
         order = np.argsort(node)
         own = rows["node"].copy()
