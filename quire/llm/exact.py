@@ -102,7 +102,8 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int
     s = scratch or Scratch(df.sparkSession)
     named = s.write(classes(df, text, doc_id, block, s), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    groups = named.groupBy("n_blocks", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    # Written before it is joined back: a join of two shuffled tables can split the rows of a large class.
+    groups = s.write(named.groupBy("n_blocks", "name").agg(first.alias("first"), F.count("*").alias("group_size")), "groups")
     joined = named.join(groups, ["n_blocks", "name"])
     return joined.select("rid", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "sha")
 
