@@ -204,6 +204,13 @@ def dot_leader_normalise(spark, d):
     return _table(spark, d, "documents").select("doc_id", X.without_leaders(line).alias("line"))
 
 
+@_query(r"SELECT doc_id, regexp_replace(regexp_replace(s, '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g') AS line FROM (SELECT doc_id, text || repeat('.', CAST(doc_id % 9 AS INT)) || ' 12 ' || repeat('. ', CAST(doc_id % 8 AS INT)) || '7' AS s FROM documents)")
+def dot_leader_normalise_whole(spark, d):
+    """As dot_leader_normalise, over whole texts and not their first 40 characters."""
+    line = F.concat("text", F.expr("repeat('.', cast(doc_id % 9 as int))"), F.lit(" 12 "), F.expr("repeat('. ', cast(doc_id % 8 as int))"), F.lit("7"))
+    return _table(spark, d, "documents").select("doc_id", X.without_leaders(line).alias("line"))
+
+
 @_query(
     r"""SELECT doc_id, TRY_CAST(nullif(regexp_extract(s, 'physical_index_(\d+)', 1), '') AS INT) AS physical_index, TRY_CAST(nullif(regexp_extract(p, '^\s*([+-]?\d+)', 1), '') AS INT) AS page
 FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE '<physical_index_' || doc_id || '>' END AS s, CASE doc_id % 4 WHEN 0 THEN ' ' || doc_id || ' ff' WHEN 1 THEN '-' || doc_id WHEN 2 THEN 'p. ' || doc_id ELSE doc_id || '.5' END AS p FROM documents)"""
