@@ -660,6 +660,14 @@ def chat_user_turn(spark, d):
     return _table(spark, d, "conversations").where("turn = 0").select("conv_id", search.user_turn(F.col("text"), F.col("role")).alias("turn_text"))
 
 
+@_query(
+    """SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN 'Relevant sections:' || chr(10) || chr(10) || text ELSE 'No section matches closely. Answer from what is known of the document''s structure, if possible.' END || chr(10) || chr(10) || 'Question: ' || role AS turn_text FROM conversations"""
+)
+def chat_user_turn_all(spark, d):
+    """As chat_user_turn, for every turn and not the first of each conversation."""
+    return _table(spark, d, "conversations").select("conv_id", "turn", search.user_turn(F.col("text"), F.col("role")).alias("turn_text"))
+
+
 @_query(
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'What crops are grown in clay soil?' WHEN doc_id % 3 = 1 THEN 'What was the revenue?' ELSE 'What is this document about?' END AS first_question FROM documents"""
 )
