@@ -11,7 +11,8 @@ So a passage that very many documents share is sent once for each slice, and no
 
 Defined results: a null text has no words; a text under WINDOW words keeps all. Windows are judged on the input. Of
 rows with equal ids neither is smaller; a null id comes after all others. Equal rows get equal results. Extra columns
-are kept; columns of the output's names are replaced. Windows are told apart by 64 bits of hashes and their bucket.
+are kept; columns of the output's names are replaced. Windows are told apart by the 64 bits of their
+hash, 16 of their anchor's and their bucket; words aren't compared.
 """
 
 from __future__ import annotations
@@ -108,14 +109,13 @@ def _seed_batches(batches, buckets: int, window: int, gram: int):
             runs["seed"] = (seed[starts] >> np.uint64(40)).astype(np.uint16)
             run_doc, run_to = doc[starts], to[starts]
             ends = np.searchsorted(run_to, np.arange(buckets + 1))
-            byte = whole.view(np.uint8).reshape(-1, 8)[:, :6]
             bounds = np.append(starts, len(doc))
             for j in np.flatnonzero(np.diff(ends)).tolist():
                 part = slice(ends[j], ends[j + 1])
                 here, local = np.unique(run_doc[part], return_inverse=True)
                 own = runs[part].copy()
                 own["doc"] = local
-                out.append((j, 0, np.stack((ids[here], rows[here])).tobytes(), own.tobytes(), byte[bounds[ends[j]] : bounds[ends[j + 1]]].tobytes()))
+                out.append((j, 0, np.stack((ids[here], rows[here])).tobytes(), own.tobytes(), whole[bounds[ends[j]] : bounds[ends[j + 1]]].tobytes()))
             for i in range(0, len(out), 4096):
                 cols = list(zip(*out[i : i + 4096], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "docs", "runs", "hashes"])
@@ -138,14 +138,12 @@ def _extend(part: pa.Table, buckets: int, window: int) -> pa.Table:
     if runs:
         run, ids, rows = np.concatenate(runs), np.concatenate(ids), np.concatenate(rows)
         n = run["n"].astype(np.int64)
-        byte = np.zeros((int(n.sum()), 8), np.uint8)
-        byte[:, 2:] = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 6)
-        key = byte.view("<u8").ravel() | np.repeat(run["seed"].astype(np.uint64), n)
+        key, seed = np.frombuffer(b"".join(hashes), np.uint64), np.repeat(run["seed"], n)
         doc = np.repeat(run["doc"].astype(np.int64), n)
         pos = np.repeat(run["pos"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(len(key))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        order = np.lexsort((seed, key))
+        key, seed = key[order], seed[order]
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (seed[1:] != seed[:-1]))))
         own = ids[doc[order]]
         least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(key))))
         hit = order[own > least]

@@ -89,3 +89,13 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert repeats.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_bits_of_a_hash(monkeypatch):
+    """Windows of two slices with one anchor, whose hashes differ in one of their 64 bits or in none."""
+    for bit in (*range(0, 64, 7), None):
+        hashes = iter((1 << 20, (1 << 20) ^ (0 if bit is None else 1 << bit)))
+        monkeypatch.setattr(repeats, "windows_of", lambda *a: (np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([next(hashes)], np.uint64), np.zeros(1, np.int64), np.full(1, 7 << 45, np.uint64)))  # noqa: B023
+        batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([i + 10], pa.int64()), pa.array(["x"])], names=["id", "row", "text"]) for i in (1, 2)]
+        marks = repeats._extend(pa.Table.from_batches(list(repeats._seed_batches(batches, 1, 13, 5))), 1, 13)
+        assert sum(len(x) for x in marks["marks"].to_pylist()) == (0 if bit is not None else repeats._MARK.itemsize)
