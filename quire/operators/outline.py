@@ -83,8 +83,14 @@ def with_parents(items: DataFrame) -> DataFrame:
     return items.join(latest, ["doc_id", "list_index"], "left")
 
 
-def with_paths(items: DataFrame, depth: int = 8) -> DataFrame:
-    """Adds path, the list indexes from the root, and pre-order node_id. depth: the most levels of codes."""
+def with_paths(items: DataFrame) -> DataFrame:
+    """Adds path, the list indexes from the root, and pre-order node_id.
+
+    A parent's code is one part shorter, so the longest code of an item with a parent tells how many joins reach all
+    roots; finding it runs the plan of the items once.
+    """
+    parts = F.when(F.col("parent_index").isNotNull(), F.size(F.split("structure", r"\.")))
+    depth = items.agg(F.max(parts)).first()[0] or 1
     own = items.select("doc_id", "list_index", "parent_index")
     x = own.select("doc_id", "list_index", F.col("parent_index").alias("up"), F.array("list_index").alias("path"))
     for _ in range(depth - 1):

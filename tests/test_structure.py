@@ -108,3 +108,13 @@ def test_document_type():
     with pytest.raises(ValueError):
         structure.document_type("a.zip")
     assert structure.read_json('```json\n[{"a": None,},]\n```', []) == [{"a": None}] and structure.read_json("x", {}) == {}
+
+
+def test_paths_of_any_depth(spark):
+    from quire.operators import outline
+
+    codes = [".".join(["1"] * n) for n in range(1, 13)] + ["2", "1.2"]
+    items = spark.createDataFrame([(1, i, c) for i, c in enumerate(codes)] + [(2, 0, "9.9")], "doc_id long, list_index int, structure string")
+    got = {(r.doc_id, r.list_index): (r.path, r.node_id) for r in outline.with_paths(outline.with_parents(items)).collect()}
+    assert all(got[1, n] == (list(range(n + 1)), f"{n:04}") for n in range(12))
+    assert got[1, 13] == ([0, 13], "0012") and got[1, 12] == ([12], "0013") and got[2, 0] == ([0], "0000")
