@@ -63,3 +63,19 @@ def test_equal_rows_in_stages(spark):
     mixed = Counter(map(tuple, mixing.mixed_documents(df).collect()))
     assert all(n <= 3 * rows.count(k) for k, n in mixed.items()) and all(k[1] for k in mixed)
     assert len(exact.distinct_documents(df).collect()) == 3
+
+
+def test_language_of_many_letters(spark):
+    """Short clean texts of a language with 3,000 letters stay; texts unlike all languages go."""
+    r = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    weights = [(i + 1) ** -0.8 for i in range(20000)]
+    many = ["".join(r.choice(letters) for _ in range(r.randint(2, 4))) for _ in weights]
+    few = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in weights]
+    text = lambda words, n: " ".join(r.choices(words, weights, k=n))
+    rows = [(i, text(many, (20, 50, 100, 400)[i % 4]), "zz", "a", 1) for i in range(400)]
+    rows += [(1000 + i, text(few, (20, 50, 100, 400)[i % 4]), "la", "a", 1) for i in range(400)]
+    junk = [(2000 + i, " ".join("".join(r.choice("αβγδεζηθικλμν") for _ in range(5)) for _ in range(40)), None, "a", 1) for i in range(20)]
+    got = {x.doc_id for x in corpus_pipeline.language(spark, spark.createDataFrame(rows + junk + [(3000, None, "la", "a", 0), (3001, "1 2", "zz", "a", 0)], SCHEMA), "").collect()}
+    assert len(got & {x[0] for x in rows}) >= 780
+    assert not got - {x[0] for x in rows}
