@@ -5,10 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that a written step hands to Python.
+BATCH = 4 << 20
 #: White space of the word rules: space and 0x09-0x0D.
 WS = r"[\x20\x09-\x0D]"
 NON_WS = r"[^\x20\x09-\x0D]"
@@ -23,19 +26,44 @@ def n_words(text: Column) -> Column:
     ).otherwise(0)
 
 
-def fold(bucket: Column, base: int) -> Column:
-    return F.pmod(bucket, F.lit(base))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, the folder that driver and executors share."""
+    """A new folder under spark.checkpoint.dir, the folder that driver and executors share.
+
+    Only where all run on one machine, as in tests, a folder of this machine is taken if none is set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _conf(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables written between the steps of one operator, so that later steps read them and not the whole lineage.
 
@@ -48,13 +76,9 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, None)
-        try:
-            self.spark.conf.set(key, "true")
+        # Shuffle files go at once, and a batch that Python is sent has a bounded size.
+        with _conf(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 
@@ -20,3 +22,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     step = max(1, min(batch.num_rows, limit * batch.num_rows // max(1, batch.column(column).nbytes)))
     for start in range(0, batch.num_rows, step):
         yield batch.slice(start, min(step, batch.num_rows - start))
+
+
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end, memory that the worker holds free is given back, as workers are used again."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    _trim()(0)

@@ -6,17 +6,24 @@ reach the similarity, then for any l the first n - need(n) + l shingles of one a
 other share at least l. Each document takes the l that costs least by the sketch's estimates: a longer prefix is read
 in more lists but asks for more shared shingles before a pair is verified. A pair must share the smaller l of the two.
 
-Equal sets are one node. Lists of the prefixes' shingles are gathered in buckets; nodes with fewer shared shingles in
-all than any partner asks for go at once. Lists of up to LONG nodes give all their pairs. For long lists, components
-come first, as pairs inside one need no test: each list's members are tested against one pivot, twice with other
-pivots (which collapses groups of copies in linear work), then all pairs
-whose components differ, block by block. At first, what a pair may share in long lists is taken to be as much as its
-nodes have there; at the end, short and long lists are counted together, and pairs that share enough, with a long list
-among it, are tested. Tests compare the whole sets. No link between different components is left out.
+Equal sets are one node. The lists' lengths are counted first: shingles that one node has go, and so do nodes with fewer
+shared shingles in all than any partner asks for. What is left is gathered in buckets; a list longer than PIECE is dealt
+in pieces by node, so that no task gathers it whole. A piece counts as a list; it is also met by the whole list's first
+node and, at last, by the other pieces. Lists of up to LONG nodes give all their pairs. For long lists, components come
+first, as pairs inside one need no test: each list's members meet one pivot, then others while this finds links (which collapses
+groups of copies in linear work), then all pairs whose components differ, block by block. At first, what a pair may
+share in long lists is taken to be as much as its nodes have there; a pivot's pairs count the lists that they met in;
+at the end, short and long lists are counted together. Pairs that share enough are tested on the whole sets. Two nodes
+meet only where their sizes and signatures allow the similarity: the bits in which the parities of two sets differ are
+at most the members in which the sets do. No link between different components is left out.
 
 Defined results: a null text, and one without words, has no shingles, links with nothing and is its own component. A
 text under `size` words is one shingle. Rows of equal sets are one component, also rows with equal ids; the component
-id is the least id of its rows, nulls ignored (null if all are). Sets are told apart by 128 bits, shingles by 64.
+id is the least id of its rows, nulls ignored (null if all are). An empty table gives no rows. Ids may be of any type
+that has an order. Other columns are ignored, whatever their names, and kept by one_of_each. A text is read in slices of
+whole texts, so the memory of a worker grows with the longest text (about 45 bytes for each of its bytes). Bytes that
+aren't UTF-8 are parts of words. Sets are told apart by 128 bits, shingles by 64; rows are found again by their id and a
+64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -28,19 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, fresh
 from quire.llm.components import components
-from quire.llm.frames import slices
+from quire.llm.frames import released, slices
 from quire.llm.wordhash import mix, words_of
 
 #: Cells of the frequency sketch, and the parts it is summed in.
 CELLS, PARTS = 1 << 21, 32
-#: Bytes of text in a slice, nodes for each bucket of lists, longest extra prefix, cost of a test in list entries.
-SLICE, NODES_A_BUCKET, MOST, TEST = 2 << 20, 4000, 8, 8
-#: Members of a list that meet at once, and rounds with pivots before all pairs are met.
-BLOCK, STARS = 1024, 2
-#: Lists of more nodes than this are long.
-LONG = 32
+#: Bytes of text in a slice, entries for each bucket of lists, longest extra prefix, cost of a test in list entries.
+SLICE, ENTRIES_A_BUCKET, MOST, TEST = 1 << 20, 16384, 8, 8
+#: Members of a list that meet at once, and most rounds with pivots before all pairs are met.
+BLOCK, STARS = 1024, 6
+#: Lists of more nodes than this are long; those of more than PIECE are dealt in pieces of about this size.
+LONG, PIECE = 32, 4096
+#: Bits of a signature.
+BITS = 512
 _Q = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,12 +99,9 @@ def _sketch(batches, size: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([task] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int64()), pa.array(rows, pa.binary())], names=["task", "part", "counts"])
 
 
-def frequency_classes(df: DataFrame, size: int, s: Scratch) -> np.ndarray:
+def frequency_classes(df: DataFrame, size: int) -> np.ndarray:
     """The class (a logarithm of the count) of each cell: CELLS bytes, whatever the size of the table."""
-    table = s.write(df.select("text").mapInArrow(lambda b: _sketch(b, size), "task long, part long, counts binary"), "sketch")
-    left = table.agg(F.max("task")).first()[0]
-    if left is None:
-        return np.zeros(CELLS, np.uint8)
+    table = df.select("text").mapInArrow(lambda b: released(_sketch(b, size)), "task long, part long, counts binary")
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // PARTS, np.float32)
@@ -103,13 +109,11 @@ def frequency_classes(df: DataFrame, size: int, s: Scratch) -> np.ndarray:
             total += np.frombuffer(c, np.uint16 if len(c) == 2 * len(total) else np.float32)
         return pa.table({"task": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": [total.tobytes()]})
 
-    left += 1
-    while True:  # sums of at most 256 tasks at a time
-        left = -(-left // 256)
+    for _ in range(3):  # sums of at most 256 at a time: up to 16 million tasks
         table = table.withColumn("task", F.floor(F.col("task") / 256)).groupBy("task", "part").applyInArrow(add, "task long, part long, counts binary")
-        if left == 1:
-            break
     got = sorted(table.collect(), key=lambda r: r.part)  # PARTS rows
+    if not got:
+        return np.zeros(CELLS, np.uint8)
     s_ = np.concatenate([np.frombuffer(r.counts, np.float32) for r in got])
     return np.log2(s_ + 1).astype(np.uint8)
 
@@ -132,6 +136,17 @@ def prefix(grams: np.ndarray, classes: np.ndarray, part: int, whole: int) -> tup
     return best + 1, grams[: base + best + 1]
 
 
+def signatures(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """BITS bits of each set: whether an odd number of its members falls on a bit."""
+    out, bit = [], ((mix(grams + _Q) >> np.uint64(17)) % np.uint64(BITS)).astype(np.int64)
+    for i in range(0, len(at) - 1, 1024):
+        j = min(i + 1024, len(at) - 1)
+        own = np.repeat(np.arange(j - i), np.diff(at[i : j + 1])) * BITS + bit[at[i] : at[j]]
+        odd = (np.bincount(own, minlength=(j - i) * BITS) & 1).astype(np.uint8)
+        out.append(np.packbits(odd.reshape(j - i, BITS), axis=1).view("<u8"))
+    return np.concatenate(out) if out else np.zeros((0, BITS // 64), "<u8")
+
+
 def _profiles(batches, classes, size: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
     held = classes.value
     for b in batches:
@@ -142,78 +157,83 @@ def _profiles(batches, classes, size: int, part: int, whole: int) -> Iterator[pa
             f1, f2 = (mixed[at[1:]] - mixed[at[:-1]]).view(np.int64), (plain[at[1:]] - plain[at[:-1]]).view(np.int64)
             found = [prefix(grams[a:e], held, part, whole) if e > a else (0, grams[:0]) for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [s.column("id"), s.column("row"), pa.array(np.diff(at)), pa.array(f1), pa.array(f2), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1].tobytes() for f in found], pa.binary())],
-                names=["id", "row", "n", "f1", "f2", "l", "prefix"],
+                [
+                    *(s.column("id"), s.column("row"), pa.array(np.diff(at)), pa.array(f1), pa.array(f2), pa.array([f[0] for f in found], pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[1]) for f in found)]), pa.int32()), pa.array(np.concatenate([f[1] for f in found]).view(np.int64))),
+                    pa.array([x.tobytes() for x in signatures(grams, at)], pa.binary()),
+                ],
+                names=["id", "row", "n", "f1", "f2", "l", "prefix", "sig"],
             )
 
 
-#: An entry of a list: shingle, node, size of its set and its l; whether the list is long, and how many shingles the
-#: node has in short and in long lists.
-_ENTRY = np.dtype([("gram", "<u8"), ("node", "<i8"), ("n", "<u4"), ("l", "u1"), ("long", "u1"), ("short_n", "<u2"), ("long_n", "<u2")])
+#: An entry of a list: shingle, piece (0: the list is whole), pieces in all, node, size of its set and its l; whether the
+#: list is long, how many shingles the node has in short and in long lists, and the signature of its set.
+_ENTRY = np.dtype(
+    [("gram", "<u8"), ("piece", "<u4"), ("lots", "<u4"), ("node", "<i8"), ("n", "<u4"), ("l", "u1"), ("long", "u1"), ("short_n", "<u2"), ("long_n", "<u2"), ("sig", "<u8", (BITS // 64,))]
+)
 #: A pair, the shingles it shares as counted, at most in the lists not counted, and at least by the smaller l.
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("shared", "<u2"), ("more", "<u2"), ("least", "u1")])
 
 
-def _deal(to: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _deal(to: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows of each bucket as one value."""
-    order = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[order], np.arange(buckets + 1))
-    some = np.flatnonzero(np.diff(ends)).tolist()
-    if some:
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[order[ends[j] : ends[j + 1]]].tobytes() for j in some], pa.binary())], names=["bucket", "rows"])
+    if len(rows):
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        starts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        cuts = zip(starts.tolist(), np.append(starts[1:], len(to)).tolist(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(to[starts], pa.int64()), pa.array([rows[order[a:e]].tobytes() for a, e in cuts], pa.binary())], names=["bucket", "rows"])
 
 
 _DEALT = "bucket long, rows binary"
 
 
-def _entries(batches, buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for s in slices(b, "prefix", SLICE):
-            grams = [np.frombuffer(x, "<u8") for x in s.column("prefix").to_pylist()]
-            sizes = [len(g) for g in grams]
-            rows = np.zeros(sum(sizes), _ENTRY)
-            rows["gram"] = np.concatenate(grams) if grams else []
-            for name in ("node", "n", "l"):
-                rows[name] = np.repeat(s.column(name).to_numpy(), sizes)
-            yield from _deal((rows["gram"] % np.uint64(buckets)).astype(np.int64), rows, buckets)
+def _same(rows: np.ndarray) -> np.ndarray:
+    """Whether each entry but the first is of the same list (or piece) as the one before."""
+    return (rows["gram"][1:] == rows["gram"][:-1]) & (rows["piece"][1:] == rows["piece"][:-1])
 
 
 def _shared(rows: np.ndarray) -> np.ndarray:
-    """The entries of shingles that at least two nodes have."""
+    """The entries of shingles that at least two nodes have; of pieces all, as others may be in another piece."""
     if not len(rows):
         return rows
-    same = rows["gram"][1:] == rows["gram"][:-1]
-    return rows[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-
-
-def _lists(part: pa.Table) -> pa.Table:
-    """A bucket's lists, sorted by shingle and size of the set."""
-    rows = np.concatenate([np.frombuffer(x, _ENTRY) for x in part.column("rows").to_pylist()])
-    rows = _shared(rows[np.lexsort((rows["node"], rows["n"], rows["gram"]))]).copy()
-    size = np.diff(_bounds(rows))
-    rows["long"] = np.repeat(size > LONG, size) if len(rows) else 0
+    same = _same(rows)
+    return rows[np.concatenate((same, [False])) | np.concatenate(([False], same)) | (rows["piece"] > 0)]
+
+
+def _gathered(part: pa.Table) -> pa.Table:
+    """A bucket's lists, sorted by shingle, piece and size of the set."""
+    rows = np.zeros(part.num_rows, _ENTRY)
+    rows["gram"] = part.column("gram").to_numpy().view(np.uint64)
+    for c in ("piece", "lots", "node", "n", "l", "long", "short_n", "long_n"):
+        rows[c] = part.column(c).to_numpy()
+    rows["sig"] = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u8").reshape(-1, BITS // 64)
+    rows = _shared(rows[np.lexsort((rows["node"], rows["n"], rows["piece"], rows["gram"]))])
     return pa.table({"bucket": part.column("bucket")[:1], "rows": [rows.tobytes()]})
 
 
-def _node_counts(batches) -> Iterator[pa.RecordBatch]:
-    """node, its shingles in short and in long lists of a bucket, and the least l among it and its list mates."""
-    for b in batches:
-        for data in b.column("rows").to_pylist():
-            rows = np.frombuffer(data, _ENTRY)
-            if not len(rows):
-                continue
-            at = _bounds(rows)
-            least = np.repeat(np.minimum.reduceat(rows["l"], at[:-1]), np.diff(at))
-            order = np.argsort(rows["node"], kind="stable")
-            node = rows["node"][order]
-            new = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            long = rows["long"][order].astype(np.int64)
-            cols = [node[new], np.add.reduceat(1 - long, new), np.add.reduceat(long, new), np.minimum.reduceat(least[order], new).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "short_n", "long_n", "least"])
+def _lists(nodes: DataFrame, piece: int, s: Scratch) -> tuple[DataFrame, DataFrame, int, bool]:
+    """The lists in buckets (bucket, rows), the nodes that may have links, the number of buckets, and whether lists are split."""
+    entries = nodes.select("node", "n", "l", F.explode("prefix").alias("gram"))
+    # The lengths of all lists of two nodes or more, counted before the shuffle and then joined: one row for a shingle.
+    lengths = s.write(entries.groupBy("gram").agg(F.count("*").alias("len"), F.min("l").alias("least")).where("len > 1"), "lengths")
+    shared = s.write(entries.join(lengths, "gram").withColumn("long", (F.col("len") > LONG).cast("int")), "shared")
+    counts = shared.groupBy("node").agg(F.sum(1 - F.col("long")).alias("short_n"), F.sum("long").alias("long_n"), F.min("least").alias("asked"))
+    live = s.write(counts.where("short_n + long_n >= asked").join(nodes.select("node", "sig"), "node").drop("asked"), "live")
+    lots = F.ceil(F.col("len") / piece)
+    cut = F.when(lots > 1, F.pmod(F.xxhash64("node"), lots) + 1).otherwise(0)
+    most = lambda c: F.least(F.col(c), F.lit(65535)).alias(c)
+    kept = shared.join(live, "node").select("gram", cut.alias("piece"), lots.alias("lots"), "node", "n", "l", "long", most("short_n"), most("long_n"), "sig")
+    split = not shared.where(F.col("len") > piece).isEmpty()
+    buckets = max(64, live.agg(F.coalesce(F.sum(F.col("short_n") + F.col("long_n")), F.lit(0))).first()[0] // ENTRIES_A_BUCKET)
+    dealt = kept.withColumn("bucket", F.pmod(F.xxhash64("gram", "piece"), F.lit(buckets)))
+    found = s.write(dealt.groupBy("bucket").applyInArrow(_gathered, _DEALT), "lists")
+    s.drop(shared, lengths)
+    return found, live, buckets, split
 
 
 def _bounds(rows: np.ndarray) -> np.ndarray:
-    return np.append(np.flatnonzero(np.concatenate(([True], rows["gram"][1:] != rows["gram"][:-1]))), len(rows)) if len(rows) else np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.concatenate(([True], ~_same(rows)))), len(rows)) if len(rows) else np.zeros(1, np.int64)
 
 
 def _uniq(pairs: np.ndarray) -> np.ndarray:
@@ -244,19 +264,34 @@ def _near(n, m, part: int, whole: int):
     return part * np.maximum(n, m) <= whole * np.minimum(n, m)
 
 
+def _alike(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Of pairs x[i], y[j]: whether their signatures allow the similarity."""
+    out = np.empty(len(i), bool)
+    for k in range(0, len(i), 1 << 15):
+        a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+        both = x["n"][a].astype(np.int64) + y["n"][b]
+        apart = both - 2 * -(-part * both // (part + whole))  # members that are in one of the sets only, at most
+        out[k : k + (1 << 15)] = np.bitwise_count(x["sig"][a] ^ y["sig"][b]).sum(axis=1, dtype=np.int64) <= apart
+    return out
+
+
 def _labelled(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
         for rows, labels in zip(b.column("rows").to_pylist(), b.column("labels").to_pylist(), strict=True):
             yield np.frombuffer(rows, _ENTRY), np.frombuffer(labels, np.int64)
 
 
-def _short_lists(batches) -> Iterator[pa.RecordBatch]:
-    """Short lists as blocks, each node its own component."""
+def _to_test(pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    yield from _deal((mix(pairs["a"].astype(np.uint64) * _Q + pairs["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), pairs)
+
+
+def _short_lists(batches, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of short lists."""
     for b in batches:
         for data in b.column("rows").to_pylist():
             rows = np.frombuffer(data, _ENTRY)
             rows = rows[rows["long"] == 0]
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (rows.tobytes(), rows["node"].tobytes(), b"", b"")], names=["rows", "labels", "rows2", "labels2"])
+            yield from _to_test(_within(rows, rows["node"], part, whole), buckets)
 
 
 def _stars(batches, which: int, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
@@ -264,26 +299,37 @@ def _stars(batches, which: int, buckets: int, part: int, whole: int) -> Iterator
     for rows, label in _labelled(batches):
         at = _bounds(rows)
         if len(rows):
-            score = rows["node"].astype(np.uint64) if not which else mix(rows["node"].astype(np.uint64) + np.uint64(which))
             # The pivot: the least score of each list.
-            order = np.lexsort((score, np.repeat(np.arange(len(at) - 1), np.diff(at))))
+            order = np.lexsort((_score(rows, which), np.repeat(np.arange(len(at) - 1), np.diff(at))))
             pivot = np.repeat(order[at[:-1]], np.diff(at))
-            use = (label != label[pivot]) & _near(rows["n"], rows["n"][pivot], part, whole)
-            pairs = _uniq(_pairs(rows[use], rows[pivot[use]]))
-            pairs["shared"] = 65535  # shared shingles of a star aren't all counted
-            yield from _deal((mix(pairs["a"].astype(np.uint64) * _Q + pairs["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), pairs, buckets)
+            use = np.flatnonzero((label != label[pivot]) & _near(rows["n"], rows["n"][pivot], part, whole))
+            use = use[_alike(rows, use, rows, pivot[use], part, whole)]
+            pairs = _pairs(rows[use], rows[pivot[use]])
+            pairs["more"] = 0  # pairs that share enough elsewhere are left to the last round
+            yield from _to_test(_uniq(pairs), buckets)
+
+
+def _score(rows: np.ndarray, which: int) -> np.ndarray:
+    return rows["node"].astype(np.uint64) if not which else mix(rows["node"].astype(np.uint64) + np.uint64(which))
 
 
 def _blocks(batches, part: int, whole: int) -> Iterator[pa.RecordBatch]:
-    """Lists that still hold more than one component; long ones as pairs of blocks that can hold near sizes."""
+    """Lists that still hold more than one component; long ones as pairs of blocks that can hold near sizes.
+
+    A piece goes to each pair of pieces (place) that it is in; there it meets the other one.
+    """
     for rows, label in _labelled(batches):
         at = _bounds(rows)
-        mixed = np.add.reduceat(label != np.repeat(label[at[:-1]], np.diff(at)), at[:-1]) > 0 if len(rows) else np.zeros(0, bool)
-        left, right = [], []
-        keep = np.repeat(mixed, np.diff(at)) & np.repeat(np.diff(at) <= BLOCK, np.diff(at)) if len(rows) else np.zeros(0, bool)
+        if not len(rows):
+            continue
+        first = rows[at[:-1]]
+        mixed = np.add.reduceat(label != np.repeat(label[at[:-1]], np.diff(at)), at[:-1]) > 0
+        left, right, place = [], [], []
+        keep = np.repeat(mixed & (np.diff(at) <= BLOCK), np.diff(at))
         if keep.any():
             left.append((rows[keep].tobytes(), label[keep].tobytes()))
             right.append((b"", b""))
+            place.append(None)
         for j in np.flatnonzero(mixed & (np.diff(at) > BLOCK)).tolist():
             cuts = range(int(at[j]), int(at[j + 1]), BLOCK)
             for i in cuts:
@@ -293,9 +339,41 @@ def _blocks(batches, part: int, whole: int) -> Iterator[pa.RecordBatch]:
                     if k == i or k > i and part * int(rows["n"][k]) <= whole * int(rows["n"][a.stop - 1]):
                         left.append((rows[a].tobytes(), label[a].tobytes()))
                         right.append((rows[b].tobytes(), label[b].tobytes()) if k > i else (b"", b""))
-        for i in range(0, len(left), 64):
-            c = [*zip(*left[i : i + 64], strict=True), *zip(*right[i : i + 64], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in c], names=["rows", "labels", "rows2", "labels2"])
+                        place.append(None)
+        for j in np.flatnonzero(first["piece"] > 0).tolist():
+            own, lots = int(first["piece"][j]), int(first["lots"][j])
+            here = slice(int(at[j]), int(at[j + 1]))
+            for other in range(1, lots + 1):
+                if other != own:
+                    left.append((rows[here].tobytes(), label[here].tobytes()))
+                    right.append((b"", b""))
+                    place.append(f"{int(first['gram'][j])}:{min(own, other)}:{max(own, other)}")
+        for i in range(0, len(left), 16):
+            c = [*zip(*left[i : i + 16], strict=True), *zip(*right[i : i + 16], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.binary()) for v in c), pa.array(place[i : i + 16], pa.string())], names=["rows", "labels", "rows2", "labels2", "place"])
+
+
+def _within(x: np.ndarray, lx: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Pairs of unlike components of the same list."""
+    found, at = [], _bounds(x)
+    for gap in range(1, int(np.diff(at).max(initial=1))):
+        i = np.flatnonzero((x["gram"][:-gap] == x["gram"][gap:]) & (x["piece"][:-gap] == x["piece"][gap:]))
+        i = i[(lx[i] != lx[i + gap]) & _near(x["n"][i], x["n"][i + gap], part, whole)]
+        i = i[_alike(x, i, x, i + gap, part, whole)]
+        found.append(_pairs(x[i], x[i + gap]))
+        if len(found) > 64:
+            found = [_uniq(np.concatenate(found))]
+    return _uniq(np.concatenate(found)) if found else np.zeros(0, _PAIR)
+
+
+def _between(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Pairs of unlike components of two blocks of one list."""
+    found = []
+    for k in range(0, len(x), BLOCK):
+        i, j = np.nonzero((lx[k : k + BLOCK, None] != ly) & _near(x["n"][k : k + BLOCK, None], y["n"], part, whole))
+        use = _alike(x, i + k, y, j, part, whole)
+        found.append(_pairs(x[i[use] + k], y[j[use]]))
+    return _uniq(np.concatenate(found)) if found else np.zeros(0, _PAIR)
 
 
 def _met(batches, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
@@ -303,27 +381,14 @@ def _met(batches, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatc
     for b in batches:
         for r1, l1, r2, l2 in zip(*(b.column(c).to_pylist() for c in ("rows", "labels", "rows2", "labels2")), strict=True):
             x, lx = np.frombuffer(r1, _ENTRY), np.frombuffer(l1, np.int64)
-            found = []
-            if r2:
-                y, ly = np.frombuffer(r2, _ENTRY), np.frombuffer(l2, np.int64)
-                i, j = np.nonzero((lx[:, None] != ly) & _near(x["n"][:, None], y["n"], part, whole))
-                found.append(_pairs(x[i], y[j]))
-            else:
-                at = _bounds(x)
-                for gap in range(1, int(np.diff(at).max(initial=1))):
-                    i = np.flatnonzero(x["gram"][:-gap] == x["gram"][gap:])
-                    i = i[(lx[i] != lx[i + gap]) & _near(x["n"][i], x["n"][i + gap], part, whole)]
-                    found.append(_pairs(x[i], x[i + gap]))
-                    if len(found) > 64:
-                        found = [_uniq(np.concatenate(found))]
-            pairs = _uniq(np.concatenate(found)) if found else np.zeros(0, _PAIR)
-            yield from _deal((mix(pairs["a"].astype(np.uint64) * _Q + pairs["b"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), pairs, buckets)
+            pairs = _between(x, lx, np.frombuffer(r2, _ENTRY), np.frombuffer(l2, np.int64), part, whole) if r2 else _within(x, lx, part, whole)
+            yield from _to_test(pairs, buckets)
 
 
 def _candidates(part: pa.Table, last: bool) -> pa.Table:
     """Distinct pairs that share as many shingles as the smaller l asks for.
 
-    At first with what they can share in long lists; at last, all is counted, and pairs without a long list are done.
+    At first with what they can share in lists not counted; at last, all is counted, and pairs without a long list are done.
     """
     pairs = _uniq(np.concatenate([np.frombuffer(x, _PAIR) for x in part.column("rows").to_pylist()]))
     if last:
@@ -344,58 +409,63 @@ def _verified(batches, part: int, whole: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[out]), pa.array(np.array(c, np.int64)[out])], names=["a", "b"])
 
 
-def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, row (a hash of id and text) and kept of every row.
+def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None, piece: int = PIECE) -> DataFrame:
+    """doc_id, n_shingles, component_id, row (a hash of the text) and kept of every row.
 
     Similar means part / whole at least. kept: true for one row of each component, the first by id.
     """
     s = scratch or Scratch(df.sparkSession)
     spark = df.sparkSession
-    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row"))
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, size, s))  # CELLS bytes
+    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
+    classes = spark.sparkContext.broadcast(frequency_classes(docs, size))  # CELLS bytes
     kind = df.schema[doc_id].dataType.simpleString()
-    profiles = docs.mapInArrow(lambda b: _profiles(b, classes, size, part, whole), f"id {kind}, row long, n long, f1 long, f2 long, l int, prefix binary")
+    profiles = docs.mapInArrow(lambda b: released(_profiles(b, classes, size, part, whole)), f"id {kind}, row long, n long, f1 long, f2 long, l int, prefix array<long>, sig binary")
     profiles = s.write(profiles.withColumn("rid", F.monotonically_increasing_id()), "profiles")
     # Equal sets are one node, named by its least row; rows without shingles are nodes of their own.
     # Groups are written before they are joined back: a join of two shuffled tables can split a large group's rows.
     groups = s.write(profiles.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("node"), F.min("id").alias("least")), "groups")
-    rows = profiles.where("n > 0").join(groups, ["f1", "f2", "n"])
     first = F.col("rid") == F.col("node")
-    rows = s.write(rows.select("rid", "id", "row", "n", "node", "least", "f1", "f2", F.when(first, F.col("l")).alias("l"), F.when(first, F.col("prefix")).alias("prefix")), "rows")
+    own = [F.when(first, F.col(c)).alias(c) for c in ("l", "prefix", "sig")]
+    rows = s.write(profiles.where("n > 0").join(groups, ["f1", "f2", "n"]).select("rid", "id", "row", "n", "node", "least", *own), "rows")
     empty = s.write(profiles.where("n = 0").select("id", "row", "n"), "empty")
     s.drop(profiles)
-    nodes = rows.where(first).select("node", "row", "least", "n", "l", "prefix")
-    buckets = max(64, nodes.count() // NODES_A_BUCKET)
-    entries = nodes.select("node", "n", "l", "prefix").mapInArrow(lambda b: _entries(b, buckets), _DEALT)
-    every = s.write(entries.groupBy("bucket").applyInArrow(_lists, _DEALT), "every-list")
-    # A node whose shared shingles are fewer than any partner asks for has no links.
-    counts = every.mapInArrow(_node_counts, "node long, short_n long, long_n long, least long").groupBy("node").agg(F.sum("short_n").alias("short_n"), F.sum("long_n").alias("long_n"), F.min("least").alias("least"))
-    live = s.write(counts.where("short_n + long_n >= least"), "live")
-    lists = s.write(_living(every, live), "lists")
-    s.drop(every)
-    sets = _sets(docs, rows, nodes, live, size, s)
-
-    def verify(dealt: DataFrame, name: str, last: bool = False) -> DataFrame:
-        pairs = s.write(dealt.groupBy("bucket").applyInArrow(lambda t: _candidates(t, last), "a long, b long"), f"pairs-{name}")
+    nodes = rows.where(first).select("node", "id", "row", "least", "n", "l", "prefix", "sig")
+    lists, live, buckets, split = _lists(nodes, piece, s)
+
+    def candidates(dealt: DataFrame, name: str, last: bool = False) -> DataFrame:
+        return s.write(dealt.groupBy("bucket").applyInArrow(lambda t: _candidates(t, last), "a long, b long"), f"pairs-{name}")
+
+    pairs = candidates(lists.select("rows").mapInArrow(lambda b: released(_short_lists(b, buckets, part, whole)), _DEALT), "links")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(live.where("long_n > 0").select("node"))
+    sets = _sets(docs, nodes, ends.distinct(), size, s)
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "ab")
-        return s.write(pairs.join(two, "b").join(one, "a").mapInArrow(lambda b: _verified(b, part, whole), "a long, b long"), name)
+        return s.write(pairs.join(two, "b").join(one, "a").mapInArrow(lambda b: released(_verified(b, part, whole)), "a long, b long"), name)
 
-    block = "rows binary, labels binary, rows2 binary, labels2 binary"
-    edges = verify(lists.select("rows").mapInArrow(_short_lists, block).mapInArrow(lambda b: _met(b, buckets, part, whole), _DEALT), "links")
+    edges = verify(pairs, "links")
     nodes_labels = components(edges, s)
-    for which in range(STARS + 1):
-        seen = _with_labels(lists, nodes_labels, which < STARS, s)
-        if seen.isEmpty():
+    for which in range(STARS):
+        seen = _with_labels(lists, nodes_labels, True, split, s)
+        seen = (_pivots(seen, which, s) if split else None) or seen
+        links = verify(candidates(seen.mapInArrow(lambda b, w=which: released(_stars(b, w, buckets, part, whole)), _DEALT), f"links{which}"), f"links{which}")
+        if links.isEmpty():
             break
-        if which < STARS:
-            dealt = seen.mapInArrow(lambda b, w=which: _stars(b, w, buckets, part, whole), _DEALT)
-        else:
-            blocks = seen.mapInArrow(lambda b: _blocks(b, part, whole), block)
-            dealt = blocks.repartition(_width(spark)).mapInArrow(lambda b: _met(b, buckets, part, whole), _DEALT)
-        links = verify(dealt, f"links{which}", which == STARS)
-        if not links.isEmpty():
-            edges = edges.union(links)
-            nodes_labels = components(edges, s)
+        edges = edges.union(links)
+        nodes_labels = components(edges, s)
+    block = "rows binary, labels binary, rows2 binary, labels2 binary"
+    seen = _with_labels(lists, nodes_labels, False, split, s)
+    blocks = seen.mapInArrow(lambda b: released(_blocks(b, part, whole)), f"{block}, place string")
+    if split:
+        blocks = s.write(blocks, "blocks")
+        ends = F.struct("rows", "labels")
+        two = blocks.where("place is not null").groupBy("place").agg(F.min(ends).alias("one"), F.max(ends).alias("two"), F.count("*").alias("n")).where("n = 2")
+        whole_lists = blocks.where("place is null").drop("place")
+        blocks = whole_lists.unionByName(two.select("one.*", F.col("two.rows").alias("rows2"), F.col("two.labels").alias("labels2")))
+    dealt = blocks.drop("place").repartition(_width(spark)).mapInArrow(lambda b: released(_met(b, buckets, part, whole)), _DEALT)
+    links = verify(candidates(dealt, "last", True), "links-last")
+    if not links.isEmpty():
+        nodes_labels = components(edges.union(links), s)
     linked = nodes.select("node", "least").join(nodes_labels, "node")
     # Of each component: the row of the least id, and of equal ids the first. A node's first row of the least id:
     heads = s.write(rows.where(F.col("id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.min("rid").alias("head")), "heads")
@@ -411,22 +481,24 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
 def one_of_each(df: DataFrame, part: int = 4, whole: int = 5, size: int = 5, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """The rows that stay, with all their columns: one of each component, and all without shingles."""
     s = scratch or Scratch(df.sparkSession)
-    found = s.write(near_duplicates(df, part, whole, size, text, doc_id, s).select("row", "kept", "n_shingles"), "components")
-    gone = found.groupBy("row").agg(F.bool_or("kept").alias("any"), F.count("*").alias("n"), F.max("n_shingles").alias("size"))
-    gone = s.write(gone, "gone")
-    row = F.xxhash64(doc_id, text)
-    kept = df.join(gone.where("not any").select(F.col("row").alias("_row")), row == F.col("_row"), "left_anti")
-    if gone.where("any and n > 1 and size > 0").isEmpty():
+    found = s.write(near_duplicates(df, part, whole, size, text, doc_id, s).where("n_shingles > 0").select("doc_id", "row", "kept"), "components")
+    # Rows of equal id and text are one here: together they stay once or go.
+    own, of = fresh(df, "id", "row")
+    known = s.write(found.groupBy(F.col("doc_id").alias(own), F.col("row").alias(of)).agg(F.bool_or("kept").alias("any"), F.count("*").alias("n")), "known")
+    gone = known.where("not any").select(own, of)
+    kept = df.join(gone, F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(of)), "left_anti")
+    if known.where("any and n > 1").isEmpty():
         return kept
-    return kept.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).dropDuplicates([doc_id, text]).unionByName(kept.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(words).dropDuplicates([doc_id, text]).unionByName(kept.where(~words))
 
 
 def _width(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, live: DataFrame, size: int, s: Scratch) -> DataFrame:
-    """node and its whole set, sorted, for the live nodes."""
+def _sets(docs: DataFrame, nodes: DataFrame, some: DataFrame, size: int, s: Scratch) -> DataFrame:
+    """node and its whole set, sorted, for some nodes."""
 
     def sets(batches):
         for b in batches:
@@ -434,42 +506,15 @@ def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, live: DataFrame, s
                 grams, at = shingle_sets(part.column("text"), size)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "grams"])
 
-    asked = s.write(nodes.join(live.select("node"), "node", "left_semi").select("node", F.col("row").alias("of")), "asked")
-    found = docs.join(asked, F.col("row") == F.col("of")).select("node", "text").mapInArrow(sets, "node long, grams binary")
-    if rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return s.write(found, "sets")
+    asked = s.write(nodes.join(some, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("row").alias("of")), "asked")
+    found = docs.join(asked, F.col("id").eqNullSafe(F.col("own")) & (F.col("row") == F.col("of"))).select("node", "text").mapInArrow(lambda b: released(sets(b)), "node long, grams binary")
+    found = s.write(found, "sets")
+    if found.select("node").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return found
     return s.write(found.dropDuplicates(["node"]), "sets")  # rows that share id and text
 
 
-def _living(lists: DataFrame, live: DataFrame) -> DataFrame:
-    """The lists of live nodes, with the counts of each."""
-
-    def asks(batches):
-        for b in batches:
-            for k, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                node = np.unique(np.frombuffer(rows, _ENTRY)["node"])
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(node), pa.int64()), pa.array(node)], names=["bucket", "node"])
-
-    def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = np.frombuffer(left.column("rows")[0].as_py(), _ENTRY).copy() if left.num_rows else np.zeros(0, _ENTRY)
-        node = right.column("node").to_numpy()
-        if len(node) and len(rows):
-            order = np.argsort(node)
-            at = np.minimum(np.searchsorted(node[order], rows["node"]), len(node) - 1)
-            hit = node[order][at] == rows["node"]
-            rows, at = rows[hit], order[at[hit]]
-            for c in ("short_n", "long_n"):
-                rows[c] = np.minimum(right.column(c).to_numpy()[at], 65535)
-            rows = _shared(rows)
-        else:
-            rows = rows[:0]
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([rows.tobytes()], pa.binary())})
-
-    known = lists.mapInArrow(asks, "bucket long, node long").join(live, "node").select("bucket", "node", "short_n", "long_n")
-    return lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(fill, _DEALT)
-
-
-def _with_labels(lists: DataFrame, labels: DataFrame, long_only: bool, s: Scratch) -> DataFrame:
+def _with_labels(lists: DataFrame, labels: DataFrame, long_only: bool, split: bool, s: Scratch) -> DataFrame:
     """The lists (long_only: the long ones) that hold several components, with the component of each entry's node (itself without links)."""
 
     def asks(batches):
@@ -491,15 +536,93 @@ def _with_labels(lists: DataFrame, labels: DataFrame, long_only: bool, s: Scratc
             at = np.minimum(np.searchsorted(node[order], own), len(node) - 1)
             hit = node[order][at] == own
             own[hit] = label[order][at[hit]]
-        # Lists of one component are done.
+        # Lists of one component are done; pieces may meet others.
         bounds = _bounds(rows)
         if len(rows):
             size = np.diff(bounds)
             mixed = np.add.reduceat(own != np.repeat(own[bounds[:-1]], size), bounds[:-1]) > 0
-            keep = np.repeat(mixed, size)
+            keep = np.repeat(mixed, size) | (rows["piece"] > 0)
             rows, own = rows[keep], own[keep]
         return pa.table({"rows": pa.array([rows.tobytes()], pa.binary()), "labels": pa.array([own.tobytes()], pa.binary())})
 
     known = lists.mapInArrow(asks, "bucket long, node long").join(labels, "node").select("bucket", "node", "label")
-    found = lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(fill, "rows binary, labels binary")
-    return s.write(found.where(F.length("rows") > 0), "labelled")
+    found = s.write(lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(fill, "rows binary, labels binary").where(F.length("rows") > 0), "labelled")
+    return _open_pieces(found, s) if split else found
+
+
+_EDGE = "gram long, low long, high long"
+
+
+def _open_pieces(found: DataFrame, s: Scratch) -> DataFrame:
+    """Without the pieces of lists of which all pieces together hold one component."""
+
+    def ends(batches):
+        for rows, label in _labelled(batches):
+            rows, label = rows[rows["piece"] > 0], label[rows["piece"] > 0]
+            at = _bounds(rows)[:-1]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["gram"][at].view(np.int64)), pa.array(np.minimum.reduceat(label, at)), pa.array(np.maximum.reduceat(label, at))], names=["gram", "low", "high"])
+
+    split = s.write(found.mapInArrow(ends, _EDGE), "piece-ends")
+    if split.isEmpty():
+        return found
+    done = split.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select("gram")
+    # The lists that are done, for each row of the table that holds a piece of them.
+    found = s.write(found.withColumn("at", F.monotonically_increasing_id()), "labelled-rows")
+
+    def asks(batches):
+        for b in batches:
+            for k, rows in zip(b.column("at").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                rows = np.frombuffer(rows, _ENTRY)
+                gram = np.unique(rows["gram"][rows["piece"] > 0])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(gram), pa.int64()), pa.array(gram.view(np.int64))], names=["at", "gram"])
+
+    def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, label = np.frombuffer(left.column("rows")[0].as_py(), _ENTRY), np.frombuffer(left.column("labels")[0].as_py(), np.int64)
+        keep = (rows["piece"] == 0) | ~np.isin(rows["gram"], right.column("gram").to_numpy().view(np.uint64))
+        return pa.table({"rows": pa.array([rows[keep].tobytes()], pa.binary()), "labels": pa.array([label[keep].tobytes()], pa.binary())})
+
+    known = found.mapInArrow(asks, "at long, gram long").join(done, "gram").select("at", "gram")
+    kept = found.groupBy("at").cogroup(known.groupBy("at")).applyInArrow(fill, "rows binary, labels binary")
+    return s.write(kept.where(F.length("rows") > 0), "labelled-open")
+
+
+def _pivots(seen: DataFrame, which: int, s: Scratch) -> DataFrame | None:
+    """The table with, in each piece, the first node of its whole list; None without pieces."""
+
+    def firsts(batches):
+        for rows, label in _labelled(batches):
+            use = np.flatnonzero(rows["piece"] > 0)
+            rows, label, at = rows[use], label[use], _bounds(rows[use])
+            if len(rows):
+                score = _score(rows, which)
+                first = np.lexsort((score, np.repeat(np.arange(len(at) - 1), np.diff(at))))[at[:-1]]
+                score = (score[first] ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["gram"][first].view(np.int64)), pa.array(score), pa.array([rows[i : i + 1].tobytes() for i in first], pa.binary()), pa.array(label[first])], names=["gram", "score", "entry", "label"])
+
+    own = s.write(seen.mapInArrow(firsts, "gram long, score long, entry binary, label long"), "piece-firsts")
+    if own.isEmpty():
+        return None
+    best = s.write(own.groupBy("gram").agg(F.min(F.struct("score", "entry", "label")).alias("best")), "list-firsts")
+    seen = s.write(seen.withColumn("at", F.monotonically_increasing_id()), "labelled-at")
+
+    def asks(batches):
+        for b in batches:
+            for k, rows in zip(b.column("at").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                rows = np.frombuffer(rows, _ENTRY)
+                heads = rows[_bounds(rows)[:-1]] if len(rows) else rows
+                heads = heads[heads["piece"] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(heads), pa.int64()), pa.array(heads["gram"].view(np.int64)), pa.array(heads["piece"].astype(np.int64))], names=["at", "gram", "piece"])
+
+    def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, label = np.frombuffer(left.column("rows")[0].as_py(), _ENTRY), np.frombuffer(left.column("labels")[0].as_py(), np.int64)
+        if right.num_rows:
+            more = np.frombuffer(b"".join(right.column("entry").to_pylist()), _ENTRY).copy()
+            more["piece"] = right.column("piece").to_numpy()
+            rows, label = np.concatenate((rows, more)), np.concatenate((label, right.column("label").to_numpy()))
+            order = np.lexsort((rows["node"], rows["n"], rows["piece"], rows["gram"]))
+            rows, label = rows[order], label[order]
+        return pa.table({"rows": pa.array([rows.tobytes()], pa.binary()), "labels": pa.array([label.tobytes()], pa.binary())})
+
+    known = seen.mapInArrow(asks, "at long, gram long, piece long").join(best, "gram").select("at", "piece", "best.entry", "best.label")
+    return seen.groupBy("at").cogroup(known.groupBy("at")).applyInArrow(fill, "rows binary, labels binary")

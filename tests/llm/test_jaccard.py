@@ -83,3 +83,37 @@ def test_components(spark):
 
 def test_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("piece", [3, 8])
+def test_long_lists_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "LONG", 2)
+    rows = make(7, 90)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), piece=piece)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute(rows)
+
+
+def test_signatures_never_rule_out_what_is_similar():
+    r = random.Random(3)
+    for _ in range(300):
+        n = r.choice([1, 2, 5, 40, 400])
+        x = {r.getrandbits(64) for _ in range(n)}
+        y = {g for g in x if r.random() > 0.06} | {r.getrandbits(64) for _ in range(r.randrange(1 + n // 20))}
+        rows = np.zeros(2, jaccard._ENTRY)
+        grams = [np.array(sorted(g), np.uint64) for g in (x, y)]
+        rows["n"], rows["sig"] = [len(x), len(y)], jaccard.signatures(np.concatenate(grams), np.array([0, len(x), len(x) + len(y)]))
+        alike = jaccard._alike(rows, np.array([0]), rows, np.array([1]), 9, 10)[0]
+        assert alike or 10 * len(x & y) < 9 * len(x | y)
+
+
+def test_one_of_each_with_odd_rows(spark):
+    long = "a b c d e f " * 30000
+    rows = [("p", "a b c d e f g", 1), ("q", "a b c d e f g", 2), (None, "a b c d e f g", 3), ("r", None, 4), ("r", None, 4), ("s", "", 5), ("t", long, 6), ("t", long, 6), (None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, row int").withColumnsRenamed({"row": "id"}).selectExpr("*", "id as row", "id as kept", "id as node")
+    got = sorted(((r.doc_id, r.text, r.id) for r in jaccard.one_of_each(df).collect()), key=str)
+    assert got == sorted([("p", "a b c d e f g", 1), ("r", None, 4), ("r", None, 4), ("s", "", 5), ("t", long, 6), (None, None, 7)], key=str)
+    assert jaccard.one_of_each(df).columns == df.columns
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+    odd = spark.sql("select id as doc_id, cast(unhex('61FF62') as string) as text from range(2)")
+    assert {r.component_id for r in jaccard.near_duplicates(odd).collect()} == {0}
