@@ -1,212 +1,289 @@
 """Substring deduplication by seed and extend.
 
 Seeds are winnowed anchors: of the GRAM-word grams of a window of WINDOW words, the one of the least hash. Two equal
-windows have the same anchor, so documents that share a window meet in the bucket of its anchor. There each anchor's
-occurrences are extended both ways: an occurrence comes with hashes of all windows that chose it, that is of every
-stretch of WINDOW words around it, and two occurrences match as far as these agree. Windows that also start in a
-document with a smaller id are marked; runs of marked windows are the maximal repeats, and their words are removed.
+windows have the same anchor at the same place, so only occurrences of one anchor can match. Anchors of one document
+id only are left out by a join; the others are looked up again in their texts, and each occurrence comes with the words
+around it, as far as windows chose it. Occurrences of an anchor are then extended outwards, word by word: those that
+agree so far stay one class on the left and one on the right, so that all are compared at once and no pairs are made.
+Where an extent reaches WINDOW words and the class has a document with a smaller id, the window is marked; marked
+windows that touch or overlap are the maximal repeats, and their words are removed.
 
-A window within a slice of a task is sent on only from its smallest document there; the others are already marked.
-So a passage that very many documents share is sent once for each slice, and no pairs of documents are made.
+Within a slice, occurrences whose words around are all the same are sent from the smallest document only; the others are
+already marked. An anchor that still has more than GROUP occurrences isn't gathered in one task: it is extended by one word first, on the right
+for the windows that hold that word and on the left for the one that doesn't, as often as needed. Occurrences whose
+extent is used up differ in nothing but their document, and only the least id of these is asked for.
 
 Defined results: a null text has no words; a text under WINDOW words keeps all. Windows are judged on the input. Of
-rows with equal ids neither is smaller; a null id comes after all others. Equal rows get equal results. Extra columns
-are kept; columns of the output's names are replaced. Windows are told apart by the 64 bits of their
-hash, 16 of their anchor's and their bucket; words aren't compared.
+rows with equal ids neither is smaller; a null id comes after all others. Ids may be of any type that has an order.
+Equal rows get equal results. An empty table gives no rows. Extra columns are kept, whatever their names; columns of
+the output's names are replaced. Bytes that aren't UTF-8 are parts of words, and kept as they are. A text is read as a
+whole, with about 25 bytes of memory for each of its bytes. Words are compared by 64-bit hashes, 13 for a window.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import Scratch
-from quire.llm.frames import replace_column, slices
-from quire.llm.wordhash import inverse_powers, mix, powers, words_of
+from quire.llm.common import Scratch, fresh
+from quire.llm.frames import released, replace_column, slices
+from quire.llm.wordhash import mix, words_of
 
 #: Words of a window, and of the grams that seeds are.
 WINDOW, GRAM = 13, 5
-#: Bytes of text in a slice, and documents for each bucket.
-SLICE, DOCS_A_BUCKET = 2 << 20, 2000
+#: Bytes of text in a slice, occurrences of one anchor in a task at most, and of all anchors in a task about.
+SLICE, GROUP, TASK = 1 << 20, 20_000, 50_000
 _Q = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def windows_of(col: pa.Array, window: int = WINDOW, gram: int = GRAM):
-    """Of all windows of a column of texts: text number, first word, hash, and anchor's word and hash."""
-    hashes, doc, first = words_of(col)
+def windows_of(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int):
+    """Of all windows of texts' words (hashes and text of each): its first word, its anchor's first word and hash."""
     n, span = len(hashes), window - gram + 1
     if n < window:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64)
     grams = np.zeros(n - gram + 1, np.uint64)
     for j in range(gram):
         grams = grams * _Q + hashes[j : n - gram + 1 + j]
     grams = mix(grams)
     m = n - window + 1
-    least, at = grams[:m].copy(), np.zeros(m, np.int64)
+    least, at = grams[:m].copy(), np.zeros(m, np.int8)
     for j in range(1, span):
         other = grams[j : j + m]
         less = other < least
         least[less] = other[less]
         at[less] = j
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers(n)[:n], dtype=np.uint64)))
-    whole = mix((total[window:] - total[:m]) * inverse_powers(n)[:m])
     inside = np.flatnonzero(doc[:m] == doc[window - 1 :])
-    own = doc[inside]
-    return own, inside - first[own], whole[inside], inside - first[own] + at[inside], least[inside]
+    return inside, inside + at[inside], least[inside]
 
 
-def _ranges(key: np.ndarray, pos: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marked windows as stretches of words: key, first word, word after the last."""
-    if not len(key):
-        return key, pos, pos
-    order = np.lexsort((pos, key))
-    key, pos = key[order], pos[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + window)))
-    starts = np.flatnonzero(new)
-    return key[starts], pos[starts], pos[np.concatenate((starts[1:], [len(pos)])) - 1] + window
+def anchors_of(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int):
+    """Anchors (first word, hash) in order, and the first words of the first and the last window that chose each."""
+    start, at, seed = windows_of(hashes, doc, window, gram)
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[start[1:]] != doc[start[:-1]])))) if len(at) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(at)) - 1 if len(new) else new
+    return at[new], seed[new], start[new], start[last]
 
 
-_SEEDS = "bucket long, kind int, docs binary, runs binary, hashes binary"
-_RUN = np.dtype([("doc", "<u4"), ("pos", "<u4"), ("n", "u1"), ("seed", "<u2")])
-_MARK = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
+_SEEDS = "seed long, id long, h long, pos int"
+_AROUND = "seed long, id long, h long, pos int, low int, high int, left binary, right binary"
 
 
-def _seed_batches(batches, buckets: int, window: int, gram: int):
+def _seeds(batches, window: int, gram: int):
     for b in batches:
         for s in slices(b, "text", SLICE):
-            ids, rows = s.column("id").to_numpy(), s.column("row").to_numpy()
-            doc, pos, whole, anchor, seed = windows_of(s.column("text"), window, gram)
-            if not len(doc):
-                continue
-            # Windows that a smaller document of the slice has too are marked here and not sent.
-            uniq, at = np.unique(whole, return_inverse=True)
-            least = np.full(len(uniq), _NO_ID)
-            np.minimum.at(least, at, ids[doc])
-            repeated = ids[doc] > least[at]
-            out: list[tuple] = []
-            k, a, e = _ranges(rows[doc[repeated]], pos[repeated], window)
-            marks = np.empty(len(k), _MARK)
-            marks["row"], marks["start"], marks["end"] = k, a, e
-            to = (mix(marks["row"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(buckets + 1))
-            out += [(j, 1, b"", marks[order[ends[j] : ends[j + 1]]].tobytes(), b"") for j in np.flatnonzero(np.diff(ends)).tolist()]
-            sent = ~repeated
-            doc, pos, whole, anchor, seed = (x[sent] for x in (doc, pos, whole, anchor, seed))
-            to = (seed % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            doc, pos, whole, anchor, seed, to = (x[order] for x in (doc, pos, whole, anchor, seed, to))
-            # A run: neighbouring windows of one document that chose the same anchor.
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (pos[1:] != pos[:-1] + 1) | (to[1:] != to[:-1]))) if len(doc) else np.zeros(0, bool)
-            starts = np.flatnonzero(new)
-            runs = np.empty(len(starts), _RUN)
-            runs["pos"], runs["n"] = pos[starts], np.diff(np.append(starts, len(doc)))
-            runs["seed"] = (seed[starts] >> np.uint64(40)).astype(np.uint16)
-            run_doc, run_to = doc[starts], to[starts]
-            ends = np.searchsorted(run_to, np.arange(buckets + 1))
-            bounds = np.append(starts, len(doc))
-            for j in np.flatnonzero(np.diff(ends)).tolist():
-                part = slice(ends[j], ends[j + 1])
-                here, local = np.unique(run_doc[part], return_inverse=True)
-                own = runs[part].copy()
-                own["doc"] = local
-                out.append((j, 0, np.stack((ids[here], rows[here])).tobytes(), own.tobytes(), whole[bounds[ends[j]] : bounds[ends[j + 1]]].tobytes()))
-            for i in range(0, len(out), 4096):
-                cols = list(zip(*out[i : i + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "kind", "docs", "runs", "hashes"])
-
-
-def _extend(part: pa.Table, buckets: int, window: int) -> pa.Table:
-    """The marks of one bucket of anchors, dealt by row to the buckets of the next step."""
-    ids, rows, runs, hashes, passed = [], [], [], [], []
-    base = 0
-    for kind, docs, run, h in zip(*(part.column(c).to_pylist() for c in ("kind", "docs", "runs", "hashes")), strict=True):
-        if kind:
-            passed.append(np.frombuffer(run, _MARK))
-            continue
-        i, r = np.frombuffer(docs, np.int64).reshape(2, -1)
-        run = np.frombuffer(run, _RUN).copy()
-        run["doc"] += base
-        base += len(i)
-        ids.append(i), rows.append(r), runs.append(run), hashes.append(h)
-    marks = passed
-    if runs:
-        run, ids, rows = np.concatenate(runs), np.concatenate(ids), np.concatenate(rows)
-        n = run["n"].astype(np.int64)
-        key, seed = np.frombuffer(b"".join(hashes), np.uint64), np.repeat(run["seed"], n)
-        doc = np.repeat(run["doc"].astype(np.int64), n)
-        pos = np.repeat(run["pos"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(len(key))
-        order = np.lexsort((seed, key))
-        key, seed = key[order], seed[order]
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (seed[1:] != seed[:-1]))))
-        own = ids[doc[order]]
-        least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(key))))
-        hit = order[own > least]
-        k, a, e = _ranges(rows[doc[hit]], pos[hit], window)
-        found = np.empty(len(k), _MARK)
-        found["row"], found["start"], found["end"] = k, a, e
-        marks = [*passed, found]
-    every = np.concatenate(marks)
-    to = (mix(every["row"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[order], np.arange(buckets + 1))
-    some = np.flatnonzero(np.diff(ends)).tolist()
-    return pa.table({"bucket": pa.array(some, pa.int64()), "marks": pa.array([every[order[ends[j] : ends[j + 1]]].tobytes() for j in some], pa.binary())})
-
-
-def _merge(part: pa.Table) -> pa.Table:
-    """row and its stretches (first word, word after the last), joined where they touch."""
-    every = np.concatenate([np.frombuffer(x, _MARK) for x in part.column("marks").to_pylist()])
-    every = every[np.lexsort((every["start"], every["row"]))]
-    rows, at = np.unique(every["row"], return_index=True)
+            hashes, doc, first = words_of(s.column("text"))
+            at, seed, _, _ = anchors_of(hashes, doc, window, gram)
+            own = doc[at]
+            if len(at):
+                cols = [pa.array(seed.view(np.int64)), s.column("id").take(pa.array(own)), s.column("h").take(pa.array(own)), pa.array((at - first[own]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["seed", "id", "h", "pos"])
+
+
+def _around(batches, window: int, gram: int):
+    """The occurrences asked for (positions of anchors) with the words around them.
+
+    low, high: how many words of a window that chose the anchor are left of it, at least and at most. Without a seed:
+    all these windows are marked, as a smaller document of the slice has the same words around the anchor.
+    """
+    most = window - gram
+    for b in batches:
+        for s in slices(b, "text", SLICE):
+            hashes, doc, first = words_of(s.column("text"))
+            at, seed, begin, end = anchors_of(hashes, doc, window, gram)
+            asked = s.column("asked")
+            wanted = first[np.repeat(np.arange(s.num_rows), np.diff(asked.offsets.to_numpy()))] + asked.flatten().to_numpy()
+            use = np.flatnonzero(np.isin(at, wanted))
+            padded = np.concatenate((np.zeros(most, np.uint64), hashes, np.zeros(most, np.uint64)))
+            a, own, steps = at[use], doc[at[use]], np.arange(most)
+            high, low = a - begin[use], a - end[use]
+            # Words beyond what the windows hold are 0: they aren't compared.
+            left = np.where(steps < high[:, None], padded[a[:, None] + most - 1 - steps], 0).astype("<u8")
+            right = np.where(steps < most - low[:, None], padded[a[:, None] + most + gram + steps], 0).astype("<u8")
+            ids = s.column("id").to_numpy()[own]
+            same = np.column_stack((seed[use], low.astype("<u8"), high.astype("<u8"), left, right))
+            same = np.ascontiguousarray(same).view(f"V{8 * same.shape[1]}").ravel()
+            number = np.unique(same, return_inverse=True)[1] if len(same) else np.zeros(0, np.int64)
+            least = np.full(len(same), _NO_ID)
+            np.minimum.at(least, number, ids)
+            known = ids > least[number]
+            for k in range(0, len(use), 8192):
+                i = slice(k, k + 8192)
+                cols = [pa.array(seed[use[i]].view(np.int64), mask=known[i]), pa.array(ids[i]), s.column("h").take(pa.array(own[i])), *(pa.array(x.astype(np.int32)) for x in ((a - first[own])[i], low[i], high[i]))]
+                for words, size in ((left[i], high[i]), (right[i], most - low[i])):
+                    cols.append(pa.array([None if gone else r[:n].tobytes() for r, n, gone in zip(words, size.tolist(), known[i].tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=["seed", "id", "h", "pos", "low", "high", "left", "right"])
+
+
+def _words(col: list[bytes], most: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(8 * most, b"\0") for x in col), "<u8").reshape(-1, most)
+
+
+def _classes(key: np.ndarray, words: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Classes of occurrences that agree in the key and the first k words outwards, for each k; -1: without so many words, or alone."""
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+    out = [rank]
+    for k in range(words.shape[1]):
+        now = np.full(len(key), -1)
+        live = np.flatnonzero((out[-1] >= 0) & (size > k))
+        if len(live):
+            c, w = out[-1][live], words[live, k]
+            order = np.lexsort((w, c))
+            c, w = c[order], w[order]
+            new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
+            number = np.cumsum(new) - 1
+            several = np.bincount(number)[number] > 1
+            now[live[order]] = np.where(several, number, -1)
+        out.append(now)
+    return out
+
+
+def extended(key: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Occurrences of anchors (key) that match one of a smaller id, and how many words left of the anchor the match begins.
+
+    Each anchor is extended to the left and to the right as far as its words agree with others'.
+    """
+    most = left.shape[1]
+    to_left, to_right = _classes(key, left, high), _classes(key, right, most - low)
     out = []
-    for a, b in zip(at, np.append(at[1:], len(every)), strict=True):
-        start, reach = every["start"][a:b].astype(np.int64), np.maximum.accumulate(every["end"][a:b].astype(np.int64))
-        new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
-        out.append(np.stack((start[new], reach[np.append(new[1:], b - a) - 1])).T.astype("<i8").tobytes())
-    return pa.table({"row": pa.array(rows, pa.int64()), "stretches": pa.array(out, pa.binary())})
+    for a in range(most + 1):
+        x, y = to_left[a], to_right[most - a]
+        use = np.flatnonzero((low <= a) & (a <= high) & (x >= 0) & (y >= 0))
+        if len(use):
+            order = use[np.lexsort((y[use], x[use]))]
+            new = np.flatnonzero(np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]))))
+            least = np.repeat(np.minimum.reduceat(ids[order], new), np.diff(np.append(new, len(order))))
+            out.append((order[ids[order] > least], a))
+    return out
+
 
+_MARKS = "id long, h long, start int, last int"
 
-def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
-    """row and stretches of the rows (id, row, text) that have words to remove. row: a hash of the whole row."""
+
+def _extend(part: pa.Table, window: int, gram: int) -> pa.Table:
+    """The marked windows of a task's anchors."""
+    col = lambda c: part.column(c).to_numpy()
+    left, right = (_words(part.column(c).to_pylist(), window - gram) for c in ("left", "right"))
+    ids, rows, pos = col("id"), col("h"), col("pos")
+    found = extended(col("seed"), ids, col("low"), col("high"), left, right)
+    none = np.zeros(0, np.int64)
+    hit = np.concatenate([none, *(i for i, _ in found)])
+    back = np.concatenate([none, *(np.full(len(i), a) for i, a in found)])
+    start = pa.array((pos[hit] - back).astype(np.int32), pa.int32())
+    return pa.table({"id": pa.array(ids[hit]), "h": pa.array(rows[hit]), "start": start, "last": start})
+
+
+def _split(around: DataFrame, window: int, gram: int, group: int, s: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Occurrences by anchors of at most `group`, and the marks of those whose extent was used up before."""
+    most, marks = window - gram, None
+    now = around.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    done: list[DataFrame] = []
+    for _ in range(most + 1):
+        large = s.write(now.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > group).select("seed"), "large-seeds")
+        if large.isEmpty():
+            break
+        done.append(now.join(large, "seed", "left_anti"))
+        big = s.write(now.join(large, "seed", "left_semi"), "large")
+        full = big.where(F.col("x") + F.col("y") == most)  # the whole window agrees
+        least = s.write(full.groupBy("seed").agg(F.min("id").alias("least")), "least")
+        hit = full.join(least, "seed").where(F.col("id") > F.col("least")).select("id", "h", *((F.col("pos") - F.col("x")).cast("int").alias(c) for c in ("start", "last")))
+        marks = hit if marks is None else marks.unionByName(hit)
+
+        def longer(side: str, at: str, low: Column, high: Column) -> Column:
+            word = F.substring(side, F.col(at) * 8 + 1, F.lit(8))
+            key = F.xxhash64("seed", F.lit(side), word).alias("seed")
+            x, y = (F.col(c) + (1 if c == at else 0) for c in "xy")
+            return F.when(low <= high, F.struct(key, "id", "h", "pos", low.alias("low"), high.alias("high"), "left", "right", x.alias("x"), y.alias("y")))
+
+        # Windows with at most `turn` words on the left hold the next word on the right; the others the next on the left.
+        turn = F.lit(most - 1) - F.col("y")
+        both = F.array(longer("right", "y", F.col("low"), F.least("high", turn)), longer("left", "x", F.greatest("low", turn + 1), F.col("high")))
+        now = s.write(big.where(F.col("x") + F.col("y") < most).select(F.explode(both).alias("o")).where("o is not null").select("o.*"), "longer")
+    for other in done:
+        now = now.unionByName(other)
+    return now, marks
+
+
+def _order(df: DataFrame, doc_id: str, s: Scratch) -> tuple[DataFrame, str]:
+    """The table with a column that orders rows as their ids do, as a long; null ids last."""
+    name, of = fresh(df, "order", "of")
+    if isinstance(df.schema[doc_id].dataType, _WHOLE):
+        return df.withColumn(name, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))), name
+    ids = df.select(F.col(doc_id).alias(of)).where(F.col(of).isNotNull()).distinct().orderBy(of)
+    ids = s.write(ids.withColumn(name, F.monotonically_increasing_id()), "ids")
+    found = df.join(ids, F.col(doc_id) == F.col(of), "left").drop(of)
+    return found.withColumn(name, F.coalesce(name, F.lit(_NO_ID))), name
+
+
+def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None, group: int = GROUP) -> DataFrame:
+    """id, h and starts (of the marked windows: first words of the first and the last of a row) of the rows (id, h, text) that have words to remove.
+
+    h: a hash of the text.
+    """
     s = scratch or Scratch(df.sparkSession)
-    buckets = max(64, df.count() // DOCS_A_BUCKET)
-    seeds = df.mapInArrow(lambda batches: _seed_batches(batches, buckets, window, gram), _SEEDS)
-    marks = seeds.groupBy("bucket").applyInArrow(lambda t: _extend(t, buckets, window), "bucket long, marks binary")
-    marks = s.write(marks, "marks")
-    return s.write(marks.groupBy("bucket").applyInArrow(_merge, "row long, stretches binary"), "stretches")
+    seeds = s.write(df.mapInArrow(lambda b: released(_seeds(b, window, gram)), _SEEDS), "seeds")
+    # Written before it is joined back: a join of two shuffled tables can split the rows of a frequent anchor.
+    shared = s.write(seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("seed"), "shared")
+    asked = seeds.join(shared, "seed").groupBy("id", "h").agg(F.collect_set("pos").alias("asked"))
+    asked = s.write(asked, "asked")
+    s.drop(seeds)
+    one = df.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(lambda b: released(_around(b, window, gram)), _AROUND)
+    around = s.write(one, "around")
+    s.drop(asked)
+    few, marks = _split(around.where("seed is not null"), window, gram, group, s)
+    tasks = max(64, around.count() // TASK)
+    dealt = few.withColumn("task", F.pmod(F.xxhash64("seed"), F.lit(tasks))).drop("x", "y")
+    found = dealt.groupBy("task").applyInArrow(lambda t: _extend(t, window, gram), _MARKS)
+    known = around.where("seed is null").select("id", "h", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low")).alias("last"))
+    found = found.unionByName(known) if marks is None else found.unionByName(known).unionByName(marks)
+    return s.write(found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "last")).alias("starts")), "marked")
 
 
-def remove(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
+def stretches(starts: list | None, window: int) -> list[tuple[int, int]]:
+    """Maximal repeats: first words and words after the last of the windows' words, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, last in sorted((x["start"], x["last"]) for x in starts or ()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], last + window))
+        else:
+            out.append((a, last + window))
+    return out
+
+
+def remove(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None, group: int = GROUP) -> DataFrame:
     """All columns, n_words, n_removed and kept: the words left, joined by one space."""
-    row, order = F.xxhash64(doc_id, text), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
-    found = repeated(df.select(order.alias("id"), row.alias("row"), F.col(text).alias("text")), window, gram, scratch)
+    s = scratch or Scratch(df.sparkSession)
     own = [c for c in df.columns if c not in ("n_words", "n_removed", "kept")]
-    joined = df.select(*own, row.alias("_row")).join(found.withColumnRenamed("row", "_of"), F.col("_row") == F.col("_of"), "left").drop("_row", "_of")
+    ordered, order = _order(df, doc_id, s)
+    hashed = F.xxhash64(text)
+    found = repeated(ordered.select(F.col(order).alias("id"), hashed.alias("h"), F.col(text).alias("text")), window, gram, s, group)
+    id_, h, starts, whole = fresh(ordered, "id", "h", "starts", "whole")
+    found = found.toDF(id_, h, starts)
+    joined = ordered.join(found, (F.col(order) == F.col(id_)) & (hashed == F.col(h)), "left").select(*own, F.col(text).alias(whole), starts)
 
     def run(batches):
         for b in batches:
-            for s in slices(b, text):
+            for part in slices(b, whole):
                 n, gone, kept = [], [], []
-                for t, cut in zip(s.column(text).cast(pa.binary()).to_pylist(), s.column("stretches").to_pylist(), strict=True):
+                for t, marked in zip(part.column(whole).cast(pa.binary()).to_pylist(), part.column(starts).to_pylist(), strict=True):
                     words = (t or b"").split()
-                    left, at = words, 0
-                    if cut:
-                        left = []
-                        for a, e in np.frombuffer(cut, "<i8").reshape(-1, 2).tolist():
-                            left += words[at:a]
-                            at = e
-                        left += words[at:]
+                    left, at = [], 0
+                    for a, e in stretches(marked, window):
+                        left += words[at:a]
+                        at = e
+                    left += words[at:]
                     n.append(len(words)), gone.append(len(words) - len(left)), kept.append(b" ".join(left))
-                s = s.select(own) if hasattr(s, "select") else s
-                for name, values in (("n_words", pa.array(n, pa.int64())), ("n_removed", pa.array(gone, pa.int64())), ("kept", pa.array(kept, pa.binary()).cast(pa.string()))):
-                    s = replace_column(s, name, values)
-                yield s
+                part = part.select(own)
+                for name, values in (("n_words", pa.array(n, pa.int64())), ("n_removed", pa.array(gone, pa.int64())), ("kept", pa.array(kept, pa.binary()).view(pa.string()))):
+                    part = replace_column(part, name, values)
+                yield part
 
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return joined.mapInArrow(run, T.StructType([*(df.schema[c] for c in own), *new]))
+    return joined.mapInArrow(lambda b: released(run(b)), T.StructType([*(df.schema[c] for c in own), *new]))

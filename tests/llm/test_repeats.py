@@ -54,30 +54,72 @@ def make(seed):
     return rows + [rows[3], rows[3], (7, rows[3][1]), (5000, " ".join(vocab * 90)), (5001, "zz " + " ".join(vocab * 90))]
 
 
-def test_slices_and_buckets(monkeypatch):
-    for seed in range(6):
-        rows = make(seed)
-        monkeypatch.setattr(repeats, "SLICE", 3000)
-        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([hash((i, t)) >> 1 for i, t in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["id", "row", "text"])
-        seeds = pa.Table.from_batches(list(repeats._seed_batches([batch], 5, 13, 5)))
-        marks = [repeats._extend(seeds.filter(pa.compute.equal(seeds["bucket"], j)), 5, 13) for j in range(5)]
-        marks = pa.concat_tables(marks)
-        got = {}
-        for j in range(5):
-            part = marks.filter(pa.compute.equal(marks["bucket"], j))
-            if part.num_rows:
-                m = repeats._merge(part)
-                got |= {k: np.frombuffer(v, "<i8").reshape(-1, 2).tolist() for k, v in zip(m["row"].to_pylist(), m["stretches"].to_pylist())}
-        want = {(i, h): n for i, n, g, h in brute(rows) for n in [g]}
-        for i, t in rows:
-            w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-            gone = got.get(hash((i, t)) >> 1, [])
-            kept, at = [], 0
-            for a, e in gone:
-                kept += w[at:a]
-                at = e
-            kept += w[at:]
-            assert want[i, hashlib.sha256(" ".join(kept).encode()).hexdigest()] == sum(e - a for a, e in gone)
+def test_extension_meets_pairs_compared_word_by_word():
+    r = random.Random(5)
+    for _ in range(60):
+        n, most = r.randint(1, 30), 8
+        key = np.array([r.randrange(3) for _ in range(n)])
+        ids = np.array([r.randrange(12) for _ in range(n)])
+        low = np.array([r.randrange(9) for _ in range(n)])
+        high = np.array([r.randint(x, 8) for x in low.tolist()])
+        left, right = (np.array([[r.choice([1, 1, 1, 2]) for _ in range(most)] for _ in range(n)], np.uint64) for _ in "xy")
+        want = set()
+        for i in range(n):
+            for j in range(n):
+                if key[i] == key[j] and ids[j] < ids[i]:
+                    a = next((k for k in range(most) if left[i][k] != left[j][k]), most)
+                    e = next((k for k in range(most) if right[i][k] != right[j][k]), most)
+                    want |= {(i, k) for k in range(max(low[i], low[j], most - e), min(high[i], high[j], a) + 1)}
+        got = {(i, a) for found, a in repeats.extended(key, ids, low, high, left, right) for i in found.tolist()}
+        assert got == want
+
+
+def test_anchors_hold_all_windows():
+    col = pa.array([t for _, t in make(1)])
+    hashes, doc, first = words_of(col)
+    start, at, seed = repeats.windows_of(hashes, doc, 13, 5)
+    where, found, begin, end = repeats.anchors_of(hashes, doc, 13, 5)
+    assert sum(end - begin + 1) == len(start) and ((where - end >= 0) & (where - begin <= 8)).all()
+    assert {(int(a), int(s)) for a, s in zip(at, seed)} == {(int(a), int(s)) for a, s in zip(where, found)}
+
+
+def test_stretches():
+    rows = lambda *x: [{"start": a, "last": e} for a, e in x]
+    assert repeats.stretches(rows((9, 9), (2, 3), (3, 3), (30, 30), (16, 22)), 13) == [(2, 43)]
+    assert repeats.stretches(rows((40, 40), (2, 20), (4, 4)), 13) == [(2, 33), (40, 53)] and repeats.stretches(None, 13) == []
+
+
+def check(spark, rows, kind="long", **more):
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    found = repeats.remove(df, **more).collect()
+    return sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in found)
+
+
+def test_frequent_anchors_are_split(spark):
+    rows = make(12)
+    assert check(spark, rows, group=6) == brute(rows)
+
+
+def test_ids_of_strings(spark):
+    rows = [(f"id{i:05d}", t) for i, t in make(13)]
+    assert check(spark, rows, "string") == brute(rows)
+
+
+def test_odd_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    long = " ".join(f"x{i}" for i in range(60000))
+    rows = [(None, passage, "a"), (3, passage, "b"), (3, passage, "b"), (4, f"{long} {passage}", "c"), (5, f"q {long}", "d"), (6, None, None), (7, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("*", "row as of", "row as starts", "row as whole", "row as stretches", "row as h", "row as id", "row as _row", "row as `order`", "1 as kept")
+    found = repeats.remove(df)
+    assert found.columns == [*(c for c in df.columns if c != "kept"), "n_words", "n_removed", "kept"]
+    got = sorted(((r.doc_id, r.starts, r.n_words, r.n_removed) for r in found.collect()), key=str)
+    assert got == sorted([(None, "a", 20, 20), (3, "b", 20, 0), (3, "b", 20, 0), (4, "c", 60020, 20), (5, "d", 60001, 60000), (6, None, 0, 0), (7, None, 0, 0)], key=str)
+
+
+def test_bytes_that_are_not_text(spark):
+    words = "|| ' ' || ".join(f"'w{i}'" for i in range(13))
+    df = spark.sql(f"select id as doc_id, cast(unhex('FF20') as string) || {words} as text from range(2)")
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in repeats.remove(df).select("doc_id", "n_words", "n_removed").collect()} == {(0, 14, 0), (1, 14, 14)}
 
 
 def test_query(spark, tmp_path):
@@ -89,13 +131,3 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert repeats.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_all_bits_of_a_hash(monkeypatch):
-    """Windows of two slices with one anchor, whose hashes differ in one of their 64 bits or in none."""
-    for bit in (*range(0, 64, 7), None):
-        hashes = iter((1 << 20, (1 << 20) ^ (0 if bit is None else 1 << bit)))
-        monkeypatch.setattr(repeats, "windows_of", lambda *a: (np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([next(hashes)], np.uint64), np.zeros(1, np.int64), np.full(1, 7 << 45, np.uint64)))  # noqa: B023
-        batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([i + 10], pa.int64()), pa.array(["x"])], names=["id", "row", "text"]) for i in (1, 2)]
-        marks = repeats._extend(pa.Table.from_batches(list(repeats._seed_batches(batches, 1, 13, 5))), 1, 13)
-        assert sum(len(x) for x in marks["marks"].to_pylist()) == (0 if bit is not None else repeats._MARK.itemsize)
