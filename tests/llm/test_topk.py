@@ -22,11 +22,26 @@ def test_max_score(low, high, n):
     x = r.integers(low, high, (n, 9))
     ids = r.permutation(n).astype(np.int64)
     rows = [(int(i), [int(v) for v in row]) for i, row in zip(ids, x)]
+    own = topk.Shard(ids, x.astype(topk._kind(int(abs(x).max()), int(abs(x).max()), 9)))
     for j in range(0, n, 7):
-        fx, fq = topk._fits(x, x[j : j + 1])
-        at, score = topk.max_score(ids, fx, int(ids[j]), fq[0], 10, fx.max(axis=0), fx.min(axis=0))
+        at, score, _ = topk.max_score(own, int(ids[j]), x[j].astype(own.x.dtype), 10)
         got = [(int(ids[j]), rank, int(ids[a]), int(s)) for rank, (a, s) in enumerate(sorted(zip(at, score), key=lambda z: (-z[1], ids[z[0]])), 1)]
-        assert got == brute(rows, [rows[j - 0]], 10)
+        assert got == brute(rows, [rows[j]], 10)
+
+
+def test_postings_are_left_out_where_they_cannot_compete():
+    r = np.random.default_rng(8)
+    x = r.integers(1, 60, (2000, 80)) * (r.random((2000, 80)) < 0.05)
+    x[:60, :6] += r.integers(200, 900, (60, 6))
+    ids = np.arange(2000)
+    own = topk.Shard(ids, x.astype(np.float64))
+    read = 0
+    for j in range(60):
+        at, score, n = topk.max_score(own, j, x[j].astype(np.float64), 10)
+        want = sorted((-int(x[i] @ x[j]), i) for i in range(2000) if i != j)[:10]
+        assert [(-int(s), int(i)) for i, s in zip(at, score)] == want
+        read += n
+    assert read < 0.25 * 60 * np.count_nonzero(x)
 
 
 def test_search(spark):
