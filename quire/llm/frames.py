@@ -15,6 +15,14 @@ def replace_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.Rec
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), column], names=[*(batch.schema.names[i] for i in keep), name])
 
 
+def texts(column: pa.Array) -> list[str | None]:
+    """The strings of a column; bytes that aren't UTF-8 count as U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode(errors="replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose values of a column take up to about `limit` bytes."""
     if not batch.num_rows:
