@@ -12,7 +12,9 @@ carry the block and are matched by it.
 
 Defined results: a null text counts as empty and equals the empty text; both are one class. Of equal texts, the row
 with the smallest id stays; a null id comes last. Of rows that also share the id, one stays. An empty table gives no
-rows. Extra columns are kept; columns of the output's names are replaced.
+rows. `dedup` ignores other columns; `distinct_documents` keeps them, whatever their names. A long text is more blocks,
+which any task names; only its own row holds it whole, and about three times its size in memory. Ids may be of any type
+that has an order.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WS, Scratch
+from quire.llm.common import WS, Scratch, fresh
 
 #: Characters of a block.
 BLOCK = 4096
@@ -45,33 +47,24 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block: in
     norm = df.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("t"))
     at = F.sequence(F.lit(0), F.floor((F.greatest(F.length("t"), F.lit(1)) - 1) / block).cast("int"))
     blocks = F.transform(at, lambda i: F.substring(F.col("t"), i * block + 1, F.lit(block)))
+    own = [F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), F.transform(blocks, lambda b: F.struct(*_prints(b))).alias("prints")]
     # Row numbers are of this written table: later steps see the same.
-    base = s.write(
-        norm.select(
-            F.monotonically_increasing_id().alias("rid"), "doc_id", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), F.transform(blocks, lambda b: F.struct(*_prints(b))).alias("prints")
-        ),
-        "documents",
-    )
+    base = s.write(norm.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *own), "documents")
     seen = norm.select(F.explode(blocks).alias("block")).select("block", *_prints(F.col("block"))).groupBy("h1", "h2", "block").agg(F.lit(1).alias("one"))
     named = _named(seen, "h1", "h2", "block")
     names = s.write(named.select("h1", "h2", "name"), "names")
     shared = names.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     rows = base.select("rid", F.size("prints").alias("n_blocks"), F.posexplode("prints").alias("pos", "p")).select("rid", "n_blocks", "pos", F.col("p.h1"), F.col("p.h2"))
-    if not shared.isEmpty():
-        return _by_content(df, text, doc_id, block, s, base, seen)
+    if not shared.isEmpty():  # the same with blocks matched by their content; numbers and texts are of one written table
+        norm = s.write(norm.withColumn("rid", F.monotonically_increasing_id()), "texts")
+        named = s.write(_named(seen.select("block"), "block"), "names-with-blocks")
+        base = norm.select("rid", "doc_id", *own)
+        rows = norm.select("rid", F.size(at).alias("n_blocks"), F.posexplode(blocks).alias("pos", "block"))
+        return _pair_up(s, base, s.write(rows.join(named, "block").select("rid", "n_blocks", "pos", "name"), "level0"))
     now = s.write(rows.join(names, ["h1", "h2"]).select("rid", "n_blocks", "pos", "name"), "level0")
     return _pair_up(s, base, now)
 
 
-def _by_content(df: DataFrame, text: str, doc_id: str, block: int, s: Scratch, base: DataFrame, seen: DataFrame) -> DataFrame:
-    """The same names with blocks matched by their content, for tables where two blocks share both hashes."""
-    named = s.write(_named(seen.select("block"), "block"), "names-with-blocks")
-    norm = df.select(F.monotonically_increasing_id().alias("rid"), normalised(F.col(text)).alias("t"))
-    at = F.sequence(F.lit(0), F.floor((F.greatest(F.length("t"), F.lit(1)) - 1) / block).cast("int"))
-    rows = norm.select("rid", (F.size(at)).alias("n_blocks"), F.posexplode(F.transform(at, lambda i: F.substring(F.col("t"), i * block + 1, F.lit(block)))).alias("pos", "block"))
-    return _pair_up(s, base, s.write(rows.join(named, "block").select("rid", "n_blocks", "pos", "name"), "level0"))
-
-
 def _pair_up(s: Scratch, base: DataFrame, now: DataFrame) -> DataFrame:
     """Rounds of naming adjacent pairs; documents that have one name are done."""
     done, width = [now.where("n_blocks = 1").select("rid", "name")], now.agg(F.max("n_blocks")).first()[0] or 1
@@ -112,9 +105,10 @@ def distinct_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """The rows that stay, with all their columns."""
     found = dedup(df, text, doc_id, scratch=scratch).where("not kept").select("doc_id", "keep_id", "sha")
     again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha")).distinct()
+    id_, sha_ = fresh(df, "id", "sha")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(id_), F.col("sha").alias(sha_)).distinct()
     sha = F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    kept = df.join(gone, F.col(doc_id).eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    kept = df.join(gone, F.col(doc_id).eqNullSafe(F.col(id_)) & (sha == F.col(sha_)), "left_anti")
     if again.isEmpty():
         return kept
-    return kept.withColumn("_sha", sha).dropDuplicates([doc_id, "_sha"]).drop("_sha")  # rows that share id and text
+    return kept.withColumn(sha_, sha).dropDuplicates([doc_id, sha_]).drop(sha_)  # rows that share id and text

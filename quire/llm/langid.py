@@ -6,11 +6,13 @@ out-of-place distance: for each n-gram of the text, how far its rank is from the
 length. The language of the smallest distance is predicted.
 
 Profiles are fitted on a bounded sample of labelled rows, about FIT_DOCS of each language picked by a hash of their
-ids, each up to FIT_CHARS characters: the classifier only; predictions read every whole text.
+ids, each with its whole text: the classifier only; predictions read every whole text.
 
 Defined results: `und` and score 0 where the text is null or has no letter, or nothing was learned. Ties go to the
 language first in code point order. Equal n-gram counts rank by code. Rows with a null language aren't learned from.
-Rows are handled one by one, so repeated rows and extra columns change nothing.
+Rows are handled one by one, so repeated rows change nothing; other columns are kept, whatever their names; columns of
+the output's names are replaced. An empty table gives no rows. Bytes that aren't UTF-8 count as U+FFFD, which is no
+letter. A long text is counted in parts that end between words, so memory grows with the longest run of letters only.
 """
 
 from __future__ import annotations
@@ -19,36 +21,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.frames import replace_column, slices
+from quire.llm.frames import released, replace_column, slices, texts
 
 #: Ranks kept of a text and of a profile.
 TEXT_RANKS, PROFILE_RANKS = 300, 400
-#: Labelled rows of each language, and characters of each, that a profile is fitted on.
-FIT_DOCS, FIT_CHARS = 400, 4_000
+#: Labelled rows of each language that a profile is fitted on.
+FIT_DOCS = 400
 #: Most languages that one set of profiles holds: 400 codes of 8 bytes each.
 MOST_LANGUAGES = 4_096
 _BITS = 21
-#: Text that is counted at once; a longer text is counted in parts that share their last two characters.
-_PART = 1 << 20
+#: Characters that are counted at once, and up to the end of a word.
+_PART = 1 << 18
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Whether a code point is a letter; for those of the planes in use."""
-    out = np.zeros(0x30000, dtype=bool)
-    out[:] = [chr(c).isalpha() for c in range(0x30000)]
-    return out
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _codes(text: str) -> np.ndarray:
-    """The n-grams of a text as integers; blanks stand for all that is not a letter."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    c[c >= 0x30000] = 32
-    c = np.where(_letters()[c], c, 32)
+def _codes(c: np.ndarray) -> np.ndarray:
+    """The n-grams of code points as integers; 32, a blank, stands for all that is not a letter."""
     c = np.concatenate(([32], c, [32]))
     word = c != 32
     c = c[word | np.concatenate(([True], word[:-1]))]  # runs of blanks become one
@@ -62,19 +59,20 @@ def _codes(text: str) -> np.ndarray:
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a whole text and their counts."""
-    if len(text) <= _PART:
-        return np.unique(_codes(text), return_counts=True)
-    total: dict[int, int] = {}
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + _PART)
-        while end < len(text) and end > at + _PART // 2 and text[end - 1].isalpha():
-            end -= 1  # parts end between words, if there is a place
-        for k, n in zip(*map(np.ndarray.tolist, np.unique(_codes(text[at:end]), return_counts=True)), strict=True):
-            total[k] = total.get(k, 0) + n
-        at = end
-    keys = np.array(sorted(total), dtype=np.int64)
-    return keys, np.array([total[k] for k in keys.tolist()], dtype=np.int64)
+    data = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    keys, n, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while at < len(data):
+        end, gap = min(len(data), at + _PART), np.zeros(0, np.int64)
+        while end < len(data) and not len(gap):  # to the next that is no letter
+            gap = np.flatnonzero(~_letters()[data[end : end + _PART]])
+            end = min(len(data), end + (int(gap[0]) if len(gap) else _PART))
+        c = data[at:end].astype(np.int64)
+        own, times = np.unique(_codes(np.where(_letters()[c], c, 32)), return_counts=True)
+        if len(keys):
+            own, of = np.unique(np.concatenate((keys, own)), return_inverse=True)
+            times = np.bincount(of, np.concatenate((n, times)), len(own)).astype(np.int64)
+        keys, n, at = own, times, end
+    return keys, n
 
 
 def ranked(keys: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
@@ -121,31 +119,38 @@ def fit(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text"
         return {}
     of = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
     chance = F.pmod(F.xxhash64(doc_id), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    sample = rows.where(chance < F.element_at(of, F.col(lang))).select(F.col(lang).alias("lang"), F.substring(text, 1, FIT_CHARS).alias("text"))
+    sample = rows.where(chance < F.element_at(of, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
-    def profile(table: pa.Table) -> pa.Table:
-        total: dict[int, int] = {}
-        for t in table.column("text").to_pylist():
-            for k, n in zip(*map(np.ndarray.tolist, counts(t)), strict=True):
-                total[k] = total.get(k, 0) + n
-        ranks = ranked(np.array(list(total), dtype=np.int64), np.array(list(total.values()), dtype=np.int64), PROFILE_RANKS)
-        return pa.table({"lang": table.column("lang")[:1], "ranks": pa.array([ranks.tolist()], pa.list_(pa.int64()))})
-
-    # A group is the bounded sample of one language.
-    found = sample.groupBy("lang").applyInArrow(profile, "lang string, ranks array<bigint>")
-    return {r.lang: list(r.ranks) for r in found.collect() if r.ranks}
-
-
-def predict(df: DataFrame, ranks: dict[str, list[int]], text: str = "text") -> DataFrame:
-    """All columns, and lang_pred and lang_score."""
+    def grams(batches):
+        for b in batches:
+            for s in slices(b, "text"):
+                total: dict[str, list] = {}
+                for name, t in zip(s.column("lang").to_pylist(), texts(s.column("text")), strict=True):
+                    total.setdefault(name, []).append(counts(t))
+                for name, found in total.items():
+                    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
+
+    found = sample.mapInArrow(lambda b: released(grams(b)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = found.withColumn("rank", rank).where(F.col("rank") <= PROFILE_RANKS)
+    ranks: dict[str, list[int]] = {}
+    for r in sorted(top.collect(), key=lambda r: (r.lang, r.rank)):  # PROFILE_RANKS rows for each language
+        ranks.setdefault(r.lang, []).append(r.gram)
+    return ranks
+
+
+def predict(df: DataFrame, ranks: dict[str, list[int]], text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """All columns, and the language predicted and its score."""
 
     def run(batches):
         own = Profiles(ranks)
         for b in batches:
             for s in slices(b, text):
-                found = [own.predict(t) for t in s.column(text).to_pylist()]
-                s = replace_column(s, "lang_pred", pa.array([f[0] for f in found], pa.string()))
-                yield replace_column(s, "lang_score", pa.array([f[1] for f in found], pa.float64()))
+                found = [own.predict(t) for t in texts(s.column(text))]
+                s = replace_column(s, pred, pa.array([f[0] for f in found], pa.string()))
+                yield replace_column(s, score, pa.array([f[1] for f in found], pa.float64()))
 
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
-    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name not in ("lang_pred", "lang_score")), *new]))
+    new = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
+    return df.mapInArrow(lambda b: released(run(b)), T.StructType([*(f for f in df.schema.fields if f.name not in (pred, score)), *new]))

@@ -7,8 +7,10 @@ started at every word that can begin a template; the longest match of each label
 
 Words: A-Z in lower case, then runs of ASCII letters and digits and of all characters beyond ASCII.
 
-Defined results: a null or empty text has no words, no labels and score 0. Rows are handled one by one, so ties,
-repeated rows and extra columns change nothing; columns of the output's names are replaced.
+Defined results: a null or empty text has no words, no labels and score 0. Rows are handled one by one, so ties and
+repeated rows change nothing; other columns are kept, whatever their names; columns of the output's names are replaced.
+An empty table gives no rows. Bytes that aren't UTF-8 count as U+FFFD, which is part of a word. A text's words are held
+at once: memory grows with the longest text, by about 15 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quire.llm.common import ASCII_LOWER
-from quire.llm.frames import replace_column, slices
+from quire.llm.frames import released, replace_column, slices, texts
 
 #: The words of a text whose A-Z are in lower case.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -175,7 +177,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for s in slices(b, text):
                 n, found, scores = [], [], []
-                for t in s.column(text).to_pylist():
+                for t in texts(s.column(text)):
                     words = words_of(t)
                     matches = own.matches(words)
                     n.append(len(words))
@@ -186,4 +188,4 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                 yield replace_column(s, "license_score", pa.array(scores, pa.float64()))
 
     new = [T.StructField("license_words", T.LongType()), T.StructField("license_matches", MATCHES), T.StructField("license_score", T.DoubleType())]
-    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name not in {x.name for x in new}), *new]))
+    return df.mapInArrow(lambda b: released(run(b)), T.StructType([*(f for f in df.schema.fields if f.name not in {x.name for x in new}), *new]))

@@ -12,7 +12,8 @@ All random numbers are hashes of document ids and a seed: reruns agree, whatever
 
 Defined results: null texts and texts without words have size 0 and are taken 0 times. Rows of equal doc_id, source
 and size are one unit whose copies are dealt out evenly among them; every row gives a row. A null source is a source,
-after all others. An empty table gives no rows. Other columns of the input are ignored.
+after all others. An empty table gives no rows. A long text is only counted, in its row. Other columns of the input are
+ignored by `mix`; `mixed_documents` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, n_words
+from quire.llm.common import Scratch, fresh, n_words
 
 #: Units that meet in one row, on average.
 FAN = 64
@@ -93,7 +94,7 @@ def _meet(seed: int):
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, fan: int = FAN, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies: one row for each row of documents (doc_id, source, text)."""
+    """doc_id, size, source_size, target, copies, source: one row for each row of documents (doc_id, source, text)."""
     s = scratch or Scratch(df.sparkSession)
     sized = df.select("doc_id", "source", n_words(F.col("text")).cast("long").alias("size"))
     units = s.write(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "units")
@@ -110,10 +111,11 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed
         x = units.withColumn("own", salt).join(salted, F.col("source").eqNullSafe(F.col("s")) & (F.col("own") == F.col("salt"))).drop("s", "own", "salt")
     wish = F.when(F.col("size") > 0, F.col("n") * F.col("target") / F.col("source_size")).otherwise(0.0)
     x = x.withColumn("wish", wish).withColumn("whole", F.floor("wish")).withColumn("p", F.col("wish") - F.col("whole"))
-    unit = F.struct("doc_id", "size", "n", "whole", "p")
+    # Large documents meet first: what is left at last tends to be a small one.
+    unit = F.struct((-F.col("size")).alias("order"), "doc_id", "size", "n", "whole", "p")
     key = ["source", *both]
-    flat = [F.col(f"d.{c}").alias(c) for c in ("doc_id", "size", "n")] + [(F.col("d.whole") + F.col("d.up")).alias("total"), "source_size", "target"]
-    settled = [x.where("p = 0").select("doc_id", "size", "n", F.col("whole").alias("total"), "source_size", "target")]
+    flat = [F.col(f"d.{c}").alias(c) for c in ("doc_id", "size", "n")] + [(F.col("d.whole") + F.col("d.up")).alias("total"), "source_size", "target", "source"]
+    settled = [x.where("p = 0").select("doc_id", "size", "n", F.col("whole").alias("total"), "source_size", "target", "source")]
     open_, level, most_units = x.where("p > 0").select(*key, unit.alias("x")), 0, largest or 0
     while most_units:
         # The groups of a level: as many as its units fill; a group's units are dealt by hash, so its size is bounded.
@@ -125,12 +127,12 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed
         start = F.struct(F.lit(None).cast(kind).alias("now"), F.array().cast(f"array<{done_kind}>").alias("done"))
         folded = gathered.select(*key, F.aggregate("xs", start, _meet(seed + level)).alias("r"))
         table = s.write(folded.select(*key, "r.now", "r.done"), f"level{level}")
-        settled.append(table.select(*both, F.explode("done").alias("d")).select(*flat))
+        settled.append(table.select(*key, F.explode("done").alias("d")).select(*flat))
         open_ = table.where("now is not null and now.p > 0").select(*key, F.col("now").alias("x"))
         if most_units <= fan ** (level + 1):  # one group for each source: what is left is the source's last document
             chance = F.pmod(F.xxhash64(F.lit(seed - 1), F.col("x.doc_id"), F.col("x.size")), F.lit(1 << 40)) / F.lit(float(1 << 40))
             last = F.col("x.whole") + F.when(chance < F.col("x.p"), 1).otherwise(0)
-            settled.append(open_.select("x.doc_id", "x.size", "x.n", last.alias("total"), "source_size", "target"))
+            settled.append(open_.select("x.doc_id", "x.size", "x.n", last.alias("total"), "source_size", "target", "source"))
             break
         level += 1
     out = settled[0]
@@ -140,24 +142,26 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed
     each = out.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     base = F.floor(F.col("total") / F.col("n"))
     copies = base + F.when(F.col("j") <= F.col("total") - base * F.col("n"), 1).otherwise(0)
-    return each.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return each.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), "source")
 
 
 def mixed_documents(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
     """The rows of documents, each as often as the mix takes it, with all their columns."""
     s = scratch or Scratch(df.sparkSession)
-    row = F.xxhash64("doc_id", "source", "text")
-    # Rows of one hash are taken together: the unit's id is the hash.
-    taken = mix(df.select(row.alias("doc_id"), "source", "text"), weights, most, seed, scratch=s)
-    taken = s.write(taken.where("copies > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_total"), F.count("*").alias("_n")), "taken")
-    repeated = df.groupBy(row.alias("_row")).agg(F.count("*").alias("_rows")).where("_rows > 1")
-    joined = df.withColumn("_row", row).join(taken, "_row")
+    # Rows of one id, source and text are taken together: the unit's id is the id with a hash of the text.
+    id_, of, total, rows, times, copy, id2, of2 = fresh(df, "id", "of", "total", "rows", "times", "copy", "id2", "of2")
+    unit = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    taken = mix(df.select(unit.alias("doc_id"), "source", "text"), weights, most, seed, scratch=s)
+    taken = s.write(taken.where("copies > 0").groupBy(F.col("doc_id").alias(id_), F.col("source").alias(of)).agg(F.sum("copies").alias(total)), "taken")
+    same = lambda x: (F.col("doc_id").eqNullSafe(x[id_].id)) & (F.xxhash64("text") == x[id_].h) & F.col("source").eqNullSafe(x[of])
+    repeated = df.groupBy(unit.alias(id2), F.col("source").alias(of2)).agg(F.count("*").alias(rows)).where(F.col(rows) > 1)
+    joined = df.join(taken, same(taken))
     if repeated.isEmpty():
-        times = F.col("_total")
+        each = F.col(total)
     else:  # equal rows share their copies
-        joined = joined.join(repeated, "_row", "left")
-        n, j = F.coalesce("_rows", F.lit(1)), F.row_number().over(Window.partitionBy("_row").orderBy("doc_id"))
-        base = F.floor(F.col("_total") / n)
-        times = base + F.when(j <= F.col("_total") - base * n, 1).otherwise(0)
-    spread = joined.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        joined = joined.join(repeated, F.col(id_).eqNullSafe(F.col(id2)) & F.col(of).eqNullSafe(F.col(of2)), "left")
+        n, j = F.coalesce(rows, F.lit(1)), F.row_number().over(Window.partitionBy(id_, of).orderBy("doc_id"))
+        base = F.floor(F.col(total) / n)
+        each = base + F.when(j <= F.col(total) - base * n, 1).otherwise(0)
+    spread = joined.withColumn(times, each).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return spread.select(*df.columns)

@@ -10,8 +10,9 @@ The rule language: literals, classes, groups, |, ?, *, +, {n}, {n,}, \\xHH; a ru
 where a match could hold the start of another match of the same rule before it first accepts, the first to accept wins
 (none of RULES is such). Rules see UTF-8 bytes; offsets are given in code points.
 
-Defined results: a null or empty text has no spans; rows are handled one by one, so ties, repeated rows and extra
-columns change nothing; a column of the output's name is replaced. The time for a text grows with its length only.
+Defined results: a null or empty text has no spans; rows are handled one by one, so ties and repeated rows change
+nothing; other columns are kept, whatever their names; a column of the output's name is replaced. An empty table gives
+no rows. Bytes that aren't UTF-8 count as U+FFFD. Time and memory for a text grow with its length only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quire.llm.frames import replace_column, slices
+from quire.llm.frames import released, replace_column, slices, texts
 
 
 def _either(word: str) -> str:
@@ -318,7 +319,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
         own = scanner()
         for b in batches:
             for s in slices(b, text):
-                rows = [[{"kind": k, "start": a, "end": e} for k, a, e in own.spans(t)] for t in s.column(text).to_pylist()]
+                rows = [[{"kind": k, "start": a, "end": e} for k, a, e in own.spans(t)] for t in texts(s.column(text))]
                 yield replace_column(s, out, pa.array(rows, _ARROW))
 
-    return df.mapInArrow(run, T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, SPANS)]))
+    return df.mapInArrow(lambda b: released(run(b)), T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, SPANS)]))

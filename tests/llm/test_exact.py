@@ -59,3 +59,13 @@ def test_distinct_documents(spark):
     rows = [(1, "a", "p"), (2, "a ", "q"), (2, "a ", "q"), (3, "a  ", "r"), (3, "b", "s"), (4, "c", "t"), (4, "c", "t"), (0, None, "u"), (9, "", "v")]
     got = exact.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted(r.source for r in got) == ["p", "q", "s", "t", "u"]
+
+
+def test_odd_rows(spark):
+    long = "x y " * 40000
+    rows = [("b", long, 1), ("a", long, 2), (None, long, 3), (None, None, 4), ("c", "", 5), ("c", "", 5), ("d", " ", 6), ("e", "\t\n", 7)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, id int").selectExpr("*", "id as gone_id", "id as sha", "id as gone_sha", "id as _sha", "id as rid")
+    got = exact.distinct_documents(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.id) for r in got.collect()) == [("a", 2), ("c", 5), ("d", 6)]
+    assert exact.distinct_documents(df.limit(0)).count() == 0

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from quire.llm.queries import op6_language_id
 def plain(text):
     """The n-grams of padded words, one by one."""
     n = Counter()
-    words = "".join(c if c.isalpha() and ord(c) < 0x30000 else " " for c in text.lower()).split()
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
     for w in words:
         n.update(w)
     s = " " + " ".join(words) + " " if words else ""
@@ -21,18 +22,64 @@ def plain(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("abé ñß.1\n中İ"), max_size=60))
+@given(st.text(st.sampled_from("abé ñß.1\n中İ\U00030000Σ"), max_size=60))
 def test_counts(text):
     keys, n = langid.counts(text)
     assert sorted(n.tolist()) == sorted(plain(text).values())
 
 
 def test_parts_of_long_texts(monkeypatch):
-    text = "the of and éa " * 500
-    whole = [x.tolist() for x in langid.counts(text)]
-    monkeypatch.setattr(langid, "_PART", 100)
-    parts = [x.tolist() for x in langid.counts(text)]
-    assert {k: n for k, n in zip(*whole) if k < 1 << 62} == {k: n for k, n in zip(*parts) if k < 1 << 62} or whole == parts
+    for text in ("the of and éa " * 500, "a" * 700 + " b", "ab" * 400, "x 1 " * 90 + "İ" * 150 + " Σας"):
+        monkeypatch.setattr(langid, "_PART", 1 << 20)
+        whole = [x.tolist() for x in langid.counts(text)]
+        for part in (7, 100):
+            monkeypatch.setattr(langid, "_PART", part)
+            assert [x.tolist() for x in langid.counts(text)] == whole
+
+
+def ranks_of(total, most):
+    """The most frequent n-grams in order; equal ones by letters, single ones first as their codes are least."""
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g))) | (1 << 62 if len(g) == 2 else 0)
+    return sorted(total, key=lambda g: (-total[g], code(g)))[:most]
+
+
+def brute(rows):
+    """Prediction and score by the rule: profiles of labelled rows, then out-of-place distances."""
+    total = {}
+    for _, text, lang, train in rows:
+        if train and lang is not None and text is not None:
+            total.setdefault(lang, Counter()).update(plain(text))
+    profiles = {k: ranks_of(v, 400) for k, v in total.items()}
+    longest = max(map(len, profiles.values()))
+    out = []
+    for i, text, _, _ in rows:
+        own = ranks_of(plain(text or ""), 300)
+        best = ("und", 0.0)
+        if own:
+            off = {k: sum(min(abs(v.index(g) - r), longest) if g in v else longest for r, g in enumerate(own)) for k, v in profiles.items()}
+            lang = min(sorted(off), key=off.get)
+            best = (lang, 1 - off[lang] / (longest * len(own)))
+        out.append((i, *best))
+    return sorted(out)
+
+
+def test_fit_and_predictions_meet_brute_force(spark):
+    r = random.Random(2)
+    words = {k: ["".join(r.choice(a) for _ in range(r.randint(1, 6))) for _ in range(60)] for k, a in (("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "ghijab"))}
+    rows = []
+    for i in range(90):
+        k = r.choice(list(words))
+        rows.append((i, " ".join(r.choice(words[k]) for _ in range(r.choice([0, 1, 3, 20, 800]))), r.choice([k, k, None]), i % 4 != 2))
+    rows += [(90, None, "aa", True), (91, "12 !", "bb", True), (92, "\U00030000\U00030001", None, False), (93, "\u03a3", None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, train boolean").selectExpr("*", "lang as n", "lang as gram", "lang as lang_pred")
+    found = langid.predict(df, langid.fit(df, df.train))
+    got = sorted((x.doc_id, x.lang_pred, x.lang_score) for x in found.collect())
+    want = brute(rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-12 for g, w in zip(got, want))
+    assert langid.fit(df.limit(0), df.train) == {} and langid.predict(df.limit(0), {}).count() == 0
+    odd = langid.predict(spark.sql("select cast(unhex('FF') as string) as text"), langid.fit(df, df.train)).collect()
+    assert [(x.lang_pred, x.lang_score) for x in odd] == [("und", 0.0)]
 
 
 def test_out_of_place():

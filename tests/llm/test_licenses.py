@@ -55,3 +55,11 @@ def test_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_odd_rows(spark):
+    from quire.llm import licenses
+
+    df = spark.sql("select 1 as spans, 'x' as license_words, cast(unhex('61FF20') as string) as text union all select 2, 'x', null union all select 2, 'x', null union all select 3, 'x', ''")
+    assert licenses.scan(df).count() == 4 and licenses.scan(df.limit(0)).count() == 0
+    assert set(df.columns) <= set(licenses.scan(df).columns)

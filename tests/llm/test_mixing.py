@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
-from quire.llm.mixing import mix
+from quire.llm.mixing import mix, mixed_documents
 from quire.llm.queries import op5_mix_sources
 
 
@@ -64,5 +65,25 @@ def test_chances_are_kept(spark):
     assert abs(sum(spread) / 20) < 0.15 and max(map(abs, spread)) < 0.9
 
 
+def test_long_documents_meet_first(spark):
+    """Sources with a few very long documents still come near their targets: by less than one of these, and by 5%."""
+    r = random.Random(6)
+    rows = [(i, "w " * (r.randint(2000, 6000) if i % 40 == 0 else r.randint(1, 30)), r.choice("abc")) for i in range(1500)]
+    found = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source", "target").agg({"*": "count"}).collect()
+    taken = {}
+    for x in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[x.source] = taken.get(x.source, 0) + x.size * x.copies
+    for x in found:
+        assert abs(taken[x.source] - x.target) <= min(6000, 0.05 * x.target)
+
+
+def test_columns_and_nulls_of_documents(spark):
+    rows = [(None, "a b", None, "k")] * 3 + [(1, "a b c", "s", "k"), (1, "a b c", "s", "k"), (2, None, "s", "k"), (3, "long " * 9000, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, id string").selectExpr("*", "id as of", "id as total", "id as copy", "id as rows", "id as n", "id as size", "id as target")
+    got = Counter(map(tuple, mixed_documents(df).collect()))
+    assert all(k in set(map(tuple, df.collect())) for k in got) and all(n <= 3 * rows.count(k[:4]) for k, n in got.items())
+    assert mixed_documents(df).columns == df.columns and mixed_documents(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

@@ -79,3 +79,18 @@ def test_language_of_many_letters(spark):
     got = {x.doc_id for x in corpus_pipeline.language(spark, spark.createDataFrame(rows + junk + [(3000, None, "la", "a", 0), (3001, "1 2", "zz", "a", 0)], SCHEMA), "").collect()}
     assert len(got & {x[0] for x in rows}) >= 780
     assert not got - {x[0] for x in rows}
+
+
+def test_odd_tables_in_each_stage(spark):
+    """Empty tables, clashing names, nulls, repeated rows and a very long text."""
+    rows = [*make()[:60], (None, "the " * 30000, "th", None, 1), (500, None, None, None, None), (500, None, None, None, None)]
+    extra = ("_row", "_copy", "_band", "_lang", "lang_score", "lang_pred", "pred", "gone_id", "_sha", "n_tokens", "ids", "decoded", "id", "row", "node")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *(f"concat('v', doc_id) as {c}" for c in extra))
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (df, df.limit(0)):
+            found = stage(spark, docs, "")
+            own = [c for c in docs.columns if name != "encode" or c not in ("n_tokens", "ids")]
+            assert [c for c in found.columns if c in own] == own and len(set(found.columns)) == len(found.columns)
+            got = found.select(*own).collect()
+            assert set(map(tuple, got)) <= set(map(tuple, docs.select(*own).collect())) or name == "encode"
+            assert bool(got) == (docs is df)

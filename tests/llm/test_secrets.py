@@ -57,3 +57,11 @@ def test_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_odd_rows(spark):
+    from quire.llm import secrets
+
+    df = spark.sql("select 1 as spans, 'x' as license_words, cast(unhex('61FF20') as string) as text union all select 2, 'x', null union all select 2, 'x', null union all select 3, 'x', ''")
+    assert secrets.scan(df).count() == 4 and secrets.scan(df.limit(0)).count() == 0
+    assert set(df.columns) <= set(secrets.scan(df).columns)
