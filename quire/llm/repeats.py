@@ -89,9 +89,9 @@ def _around(batches, window: int, gram: int):
     """The occurrences asked for (positions of anchors) with the words around them.
 
     low, high: how many words of a window that chose the anchor are left of it, at least and at most. Without a seed:
-    all these windows are marked, as a smaller document of the slice has the same words around the anchor.
+    windows that begin from pos to low are marked, as a smaller document of the slice has the same words around them.
     """
-    most = window - gram
+    most, names = window - gram, ["seed", "id", "h", "pos", "low", "high", "left", "right"]
     for b in batches:
         for s in slices(b, "text", SLICE):
             hashes, doc, first = words_of(s.column("text"))
@@ -106,18 +106,47 @@ def _around(batches, window: int, gram: int):
             left = np.where(steps < high[:, None], padded[a[:, None] + most - 1 - steps], 0).astype("<u8")
             right = np.where(steps < most - low[:, None], padded[a[:, None] + most + gram + steps], 0).astype("<u8")
             ids = s.column("id").to_numpy()[own]
-            same = np.column_stack((seed[use], low.astype("<u8"), high.astype("<u8"), left, right))
-            same = np.ascontiguousarray(same).view(f"V{8 * same.shape[1]}").ravel()
-            number = np.unique(same, return_inverse=True)[1] if len(same) else np.zeros(0, np.int64)
+            same = _numbers(seed[use], low, high, left, right)
             least = np.full(len(same), _NO_ID)
-            np.minimum.at(least, number, ids)
-            known = ids > least[number]
-            for k in range(0, len(use), 8192):
-                i = slice(k, k + 8192)
-                cols = [pa.array(seed[use[i]].view(np.int64), mask=known[i]), pa.array(ids[i]), s.column("h").take(pa.array(own[i])), *(pa.array(x.astype(np.int32)) for x in ((a - first[own])[i], low[i], high[i]))]
+            np.minimum.at(least, same, ids)
+            known = ids > least[same]
+            begins, lasts = (x[use[known]] - first[own[known]] for x in (begin, end))
+            rows, start, last = ranges(own[known], begins, lasts, window)
+            none = pa.nulls(len(rows), pa.binary())
+            cols = [pa.nulls(len(rows), pa.int64()), *(s.column(c).take(pa.array(rows)) for c in ("id", "h")), *(pa.array(x.astype(np.int32), pa.int32()) for x in (start, last, start)), none, none]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+            sent = np.flatnonzero(~known)
+            for k in range(0, len(sent), 8192):
+                i = sent[k : k + 8192]
+                cols = [pa.array(seed[use[i]].view(np.int64)), pa.array(ids[i]), s.column("h").take(pa.array(own[i])), *(pa.array(x.astype(np.int32)) for x in ((a - first[own])[i], low[i], high[i]))]
                 for words, size in ((left[i], high[i]), (right[i], most - low[i])):
-                    cols.append(pa.array([None if gone else r[:n].tobytes() for r, n, gone in zip(words, size.tolist(), known[i].tolist(), strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["seed", "id", "h", "pos", "low", "high", "left", "right"])
+                    cols.append(pa.array([r[:n].tobytes() for r, n in zip(words, size.tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _numbers(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows only: by two 64-bit hashes."""
+    one = two = np.zeros(len(columns[0]), np.uint64)
+    for x in np.column_stack([c.astype(np.uint64) for c in columns]).T:
+        one, two = mix(one * _Q + x), mix((two ^ x) * _Q)
+    order = np.lexsort((two, one))
+    new = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], new))) if len(order) else 0
+    return out
+
+
+def ranges(key: np.ndarray, start: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marked windows (from one that begins at `start` to one that begins at `last`) of each key, joined where their words touch."""
+    if not len(key):
+        return key, start, last
+    order = np.lexsort((last, start, key))
+    key, start, last = key[order], start[order], last[order]
+    reach = np.maximum.accumulate(last + (key - key.min()) * (int(last.max()) + window + 1)) if len(key) else last
+    base = (key - key.min()) * (int(last.max()) + window + 1)
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] + base[1:] > reach[:-1] + window))))
+    ends = np.append(new[1:], len(key)) - 1
+    return key[new], start[new], (reach - base)[ends]
 
 
 def _words(col: list[bytes], most: int) -> np.ndarray:
@@ -164,7 +193,12 @@ def extended(key: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray
     return out
 
 
-_MARKS = "id long, h long, start int, last int"
+#: mark: first words of the first and the last of a row of marked windows, as one number.
+_MARKS = "id long, h long, mark long"
+
+
+def _mark(start, last):
+    return start * (1 << 32) + last
 
 
 def _extend(part: pa.Table, window: int, gram: int) -> pa.Table:
@@ -175,9 +209,9 @@ def _extend(part: pa.Table, window: int, gram: int) -> pa.Table:
     found = extended(col("seed"), ids, col("low"), col("high"), left, right)
     none = np.zeros(0, np.int64)
     hit = np.concatenate([none, *(i for i, _ in found)])
-    back = np.concatenate([none, *(np.full(len(i), a) for i, a in found)])
-    start = pa.array((pos[hit] - back).astype(np.int32), pa.int32())
-    return pa.table({"id": pa.array(ids[hit]), "h": pa.array(rows[hit]), "start": start, "last": start})
+    start = pos[hit] - np.concatenate([none, *(np.full(len(i), a) for i, a in found)])
+    hit, start, last = ranges(hit, start, start, window)
+    return pa.table({"id": pa.array(ids[hit]), "h": pa.array(rows[hit]), "mark": pa.array(_mark(start.astype(np.int64), last))})
 
 
 def _split(around: DataFrame, window: int, gram: int, group: int, s: Scratch) -> tuple[DataFrame, DataFrame | None]:
@@ -193,7 +227,7 @@ def _split(around: DataFrame, window: int, gram: int, group: int, s: Scratch) ->
         big = s.write(now.join(large, "seed", "left_semi"), "large")
         full = big.where(F.col("x") + F.col("y") == most)  # the whole window agrees
         least = s.write(full.groupBy("seed").agg(F.min("id").alias("least")), "least")
-        hit = full.join(least, "seed").where(F.col("id") > F.col("least")).select("id", "h", *((F.col("pos") - F.col("x")).cast("int").alias(c) for c in ("start", "last")))
+        hit = full.join(least, "seed").where(F.col("id") > F.col("least")).select("id", "h", _mark(F.col("pos") - F.col("x"), F.col("pos") - F.col("x")).alias("mark"))
         marks = hit if marks is None else marks.unionByName(hit)
 
         def longer(side: str, at: str, low: Column, high: Column) -> Column:
@@ -223,10 +257,7 @@ def _order(df: DataFrame, doc_id: str, s: Scratch) -> tuple[DataFrame, str]:
 
 
 def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None, group: int = GROUP) -> DataFrame:
-    """id, h and starts (of the marked windows: first words of the first and the last of a row) of the rows (id, h, text) that have words to remove.
-
-    h: a hash of the text.
-    """
+    """id, h (a hash of the text) and the marks of the rows (id, h, text) that have words to remove."""
     s = scratch or Scratch(df.sparkSession)
     seeds = s.write(df.mapInArrow(lambda b: released(_seeds(b, window, gram)), _SEEDS), "seeds")
     # Written before it is joined back: a join of two shuffled tables can split the rows of a frequent anchor.
@@ -241,20 +272,15 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM, scratch: Scr
     tasks = max(64, around.count() // TASK)
     dealt = few.withColumn("task", F.pmod(F.xxhash64("seed"), F.lit(tasks))).drop("x", "y")
     found = dealt.groupBy("task").applyInArrow(lambda t: _extend(t, window, gram), _MARKS)
-    known = around.where("seed is null").select("id", "h", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low")).alias("last"))
+    known = around.where("seed is null").select("id", "h", _mark(F.col("pos").cast("long"), F.col("low")).alias("mark"))
     found = found.unionByName(known) if marks is None else found.unionByName(known).unionByName(marks)
-    return s.write(found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "last")).alias("starts")), "marked")
+    return s.write(found.groupBy("id", "h").agg(F.collect_set("mark").alias("marks")), "marked")
 
 
-def stretches(starts: list | None, window: int) -> list[tuple[int, int]]:
-    """Maximal repeats: first words and words after the last of the windows' words, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for a, last in sorted((x["start"], x["last"]) for x in starts or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], last + window))
-        else:
-            out.append((a, last + window))
-    return out
+def stretches(marks: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal repeats of a text: first words and words after the last of its marked windows, joined where they touch."""
+    _, start, last = ranges(np.zeros(len(marks), np.int64), marks >> 32, marks & 0xFFFFFFFF, window)
+    return list(zip(start.tolist(), (last + window).tolist(), strict=True))
 
 
 def remove(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None, group: int = GROUP) -> DataFrame:
@@ -264,21 +290,24 @@ def remove(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: in
     ordered, order = _order(df, doc_id, s)
     hashed = F.xxhash64(text)
     found = repeated(ordered.select(F.col(order).alias("id"), hashed.alias("h"), F.col(text).alias("text")), window, gram, s, group)
-    id_, h, starts, whole = fresh(ordered, "id", "h", "starts", "whole")
-    found = found.toDF(id_, h, starts)
-    joined = ordered.join(found, (F.col(order) == F.col(id_)) & (hashed == F.col(h)), "left").select(*own, F.col(text).alias(whole), starts)
+    id_, h, found_, whole = fresh(ordered, "id", "h", "marks", "whole")
+    found = found.toDF(id_, h, found_)
+    joined = ordered.join(found, (F.col(order) == F.col(id_)) & (hashed == F.col(h)), "left").select(*own, F.col(text).alias(whole), found_)
 
     def run(batches):
         for b in batches:
             for part in slices(b, whole):
                 n, gone, kept = [], [], []
-                for t, marked in zip(part.column(whole).cast(pa.binary()).to_pylist(), part.column(starts).to_pylist(), strict=True):
-                    words = (t or b"").split()
-                    left, at = [], 0
-                    for a, e in stretches(marked, window):
-                        left += words[at:a]
-                        at = e
-                    left += words[at:]
+                marks = part.column(found_)
+                ends, values, valid = marks.offsets.to_numpy(), marks.values.to_numpy(), marks.is_valid().to_pylist()
+                for i, t in enumerate(part.column(whole).cast(pa.binary()).to_pylist()):
+                    left = words = (t or b"").split()
+                    if valid[i]:
+                        left, at = [], 0
+                        for a, e in stretches(values[ends[i] : ends[i + 1]], window):
+                            left += words[at:a]
+                            at = e
+                        left += words[at:]
                     n.append(len(words)), gone.append(len(words) - len(left)), kept.append(b" ".join(left))
                 part = part.select(own)
                 for name, values in (("n_words", pa.array(n, pa.int64())), ("n_removed", pa.array(gone, pa.int64())), ("kept", pa.array(kept, pa.binary()).view(pa.string()))):

@@ -84,9 +84,19 @@ def test_anchors_hold_all_windows():
 
 
 def test_stretches():
-    rows = lambda *x: [{"start": a, "last": e} for a, e in x]
+    rows = lambda *x: np.array([repeats._mark(a, e) for a, e in x], np.int64)
     assert repeats.stretches(rows((9, 9), (2, 3), (3, 3), (30, 30), (16, 22)), 13) == [(2, 43)]
-    assert repeats.stretches(rows((40, 40), (2, 20), (4, 4)), 13) == [(2, 33), (40, 53)] and repeats.stretches(None, 13) == []
+    assert repeats.stretches(rows((40, 40), (2, 20), (4, 4)), 13) == [(2, 33), (40, 53)] and repeats.stretches(rows(), 13) == []
+
+
+def test_ranges():
+    r = random.Random(2)
+    for _ in range(200):
+        marks = [(r.randrange(3), r.randrange(60)) for _ in range(r.randrange(12))]
+        marks = [(k, a, a + r.randrange(9)) for k, a in marks]
+        covered = {(k, w) for k, a, e in marks for w in range(a, e + 5)}
+        key, start, last = repeats.ranges(*(np.array([m[i] for m in marks], np.int64) for i in range(3)), 5)
+        assert sorted((k, w) for k, a, e in zip(key.tolist(), start.tolist(), last.tolist()) for w in range(a, e + 5)) == sorted(covered)
 
 
 def check(spark, rows, kind="long", **more):
