@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch of rows that a written step hands to Python.
 BATCH = 4 << 20
+#: Rows of ids and hashes that are broadcast at most.
+SMALL = 200_000
 #: White space of the word rules: space and 0x09-0x0D.
 WS = r"[\x20\x09-\x0D]"
 NON_WS = r"[^\x20\x09-\x0D]"
@@ -52,6 +54,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few short columns, broadcast where it has at most SMALL rows; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 @contextmanager
 def _conf(spark: SparkSession, values: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in values}

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WS, Scratch, fresh
+from quire.llm.common import WS, Scratch, fresh, small
 
 #: Characters of a block.
 BLOCK = 4096
@@ -103,12 +103,13 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int
 
 def distinct_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """The rows that stay, with all their columns."""
-    found = dedup(df, text, doc_id, scratch=scratch).where("not kept").select("doc_id", "keep_id", "sha")
+    s = scratch or Scratch(df.sparkSession)
+    found = s.write(dedup(df, text, doc_id, scratch=s).where("not kept").select("doc_id", "keep_id", "sha"), "dropped")
     again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     id_, sha_ = fresh(df, "id", "sha")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(id_), F.col("sha").alias(sha_)).distinct()
     sha = F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    kept = df.join(gone, F.col(doc_id).eqNullSafe(F.col(id_)) & (sha == F.col(sha_)), "left_anti")
+    kept = df.join(small(gone), F.col(doc_id).eqNullSafe(F.col(id_)) & (sha == F.col(sha_)), "left_anti")
     if again.isEmpty():
         return kept
     return kept.withColumn(sha_, sha).dropDuplicates([doc_id, sha_]).drop(sha_)  # rows that share id and text

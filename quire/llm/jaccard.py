@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, fresh
+from quire.llm.common import Scratch, fresh, small
 from quire.llm.components import components
 from quire.llm.frames import released, slices
 from quire.llm.wordhash import mix, words_of
@@ -486,7 +486,7 @@ def one_of_each(df: DataFrame, part: int = 4, whole: int = 5, size: int = 5, tex
     own, of = fresh(df, "id", "row")
     known = s.write(found.groupBy(F.col("doc_id").alias(own), F.col("row").alias(of)).agg(F.bool_or("kept").alias("any"), F.count("*").alias("n")), "known")
     gone = known.where("not any").select(own, of)
-    kept = df.join(gone, F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(of)), "left_anti")
+    kept = df.join(small(gone), F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(of)), "left_anti")
     if known.where("any and n > 1").isEmpty():
         return kept
     words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -507,7 +507,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, some: DataFrame, size: int, s: Scra
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "grams"])
 
     asked = s.write(nodes.join(some, "node", "left_semi").select("node", F.col("id").alias("own"), F.col("row").alias("of")), "asked")
-    found = docs.join(asked, F.col("id").eqNullSafe(F.col("own")) & (F.col("row") == F.col("of"))).select("node", "text").mapInArrow(lambda b: released(sets(b)), "node long, grams binary")
+    found = docs.join(small(asked), F.col("id").eqNullSafe(F.col("own")) & (F.col("row") == F.col("of"))).select("node", "text").mapInArrow(lambda b: released(sets(b)), "node long, grams binary")
     found = s.write(found, "sets")
     if found.select("node").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return found
