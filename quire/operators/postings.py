@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -23,24 +23,44 @@ def with_defaults(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in nodes.columns})
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def term_runs(nodes: DataFrame, min_length: int = 3) -> DataFrame:
+    """NODE and `terms`: (term, first_pos, tf) of each node's terms, in order of the terms.
+
+    A node is one row, so its terms are sorted and counted in the row: no text is shuffled. Only where the input has fewer
+    partitions than the cluster has cores (a single file) are rows dealt out first.
+    """
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    if nodes.rdd.getNumPartitions() < cores:
+        nodes = nodes.repartition(cores)
+    body = X.tokens(node_text(F.col("title"), F.col("summary"), F.col("prefix_summary"), F.col("text")))
+    placed = F.transform(body, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+
+    def runs(found: Column) -> Column:
+        # Sorted by term and place, a term's tokens are one run; the next run's start tells how many they are.
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), lambda i: (i < F.size(found)) & ((i == 0) | (F.get(found, i).term != F.get(found, i - 1).term)))
+        one = lambda starts: F.transform(starts, lambda i, k: F.struct(F.get(found, i).term.alias("term"), F.get(found, i).pos.alias("first_pos"), (F.coalesce(F.get(starts, k + 1), F.size(found)) - i).cast("long").alias("tf")))
+        return _let(at, one)
+
+    indexed = F.array_sort(F.filter(placed, lambda x: X.index_term(x.term, min_length)))
+    return with_defaults(nodes).select(*NODE, _let(indexed, runs).alias("terms"))
+
+
 def term_frequencies(nodes: DataFrame, min_length: int = 3) -> DataFrame:
-    """NODE, term, tf and first_pos. Nodes are dealt by key once; counting and ranking then need no other shuffle."""
-    body = node_text(F.col("title"), F.col("summary"), F.col("prefix_summary"), F.col("text"))
-    # A given number of partitions: adaptive merging would go by the size of texts, which are small beside the work.
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_defaults(nodes).select(*NODE, body.alias("body")).repartition(n, "doc_id", "node_seq")
-    # The outer form, as for the other Spark would tokenise once more to drop empty texts; null terms go right after.
-    spread = dealt.select(*NODE, F.posexplode_outer(X.tokens(F.col("body"))).alias("pos", "term")).where(X.index_term(F.col("term"), min_length))
-    return spread.groupBy(*NODE, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    """NODE, term, tf and first_pos."""
+    return term_runs(nodes, min_length).select(*NODE, F.inline("terms")).select(*NODE, "term", "tf", "first_pos")
 
 
 def build_keywords(nodes: DataFrame, per_node: int = 10, min_length: int = 3) -> DataFrame:
     """NODE, term, tf, rank and score = ln(1 + tf) / ln(1 + the node's largest tf); the first per_node terms."""
-    tf = term_frequencies(nodes, min_length)
-    node = Window.partitionBy("doc_id", "node_seq")
-    ranked = tf.withColumn("top", F.max("tf").over(node)).withColumn("rank", F.row_number().over(node.orderBy(F.desc("tf"), "first_pos")))
-    score = F.log1p(F.col("tf").cast("double")) / F.log1p(F.col("top").cast("double"))
-    return ranked.where(F.col("rank") <= per_node).select(*NODE, "term", "tf", "rank", score.alias("score"))
+    ranked = F.array_sort(F.transform("terms", lambda x: F.struct((-x.tf).alias("less"), x.first_pos.alias("first_pos"), x.term.alias("term"), x.tf.alias("tf"))))
+    score = lambda x, most: F.log1p(x.tf.cast("double")) / F.log1p(most.cast("double"))
+    scored = lambda top: F.transform(top, lambda x, i: F.struct(x.term.alias("term"), x.tf.alias("tf"), (i + 1).alias("rank"), score(x, F.get(top, F.lit(0)).tf).alias("score")))
+    return term_runs(nodes, min_length).select(*NODE, F.inline(_let(F.slice(ranked, 1, per_node), scored)))
 
 
 def llm_terms(reply: Column, most: int = 10) -> Column:

@@ -9,8 +9,6 @@ from quire.functions import text as X
 
 #: What a hit counts where the term only contains the query's.
 PARTIAL = 0.6
-#: Query terms that are broadcast at most; more are joined by shuffle (exact) and in blocks (partial).
-BROADCAST_TERMS = 100_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -22,13 +20,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def hits(postings: DataFrame, terms: DataFrame, index: tuple[str, ...] = ()) -> DataFrame:
     """All hits of all query terms. index: the columns that tell indexes apart; none: the postings are one index.
 
-    Partial terms are looked for in the dictionary of distinct terms; only terms found are joined to postings.
+    Terms are looked for in the dictionary of distinct terms, not in the postings; only terms found are joined to these.
+    A term that contains the query's has its first two letters as two of its own, next to each other, so terms meet on
+    pairs of letters and not each with each.
     """
     first = F.struct("doc_id", "node_seq", "rank") if not index else F.struct("node_seq", "rank")
     dictionary = postings.groupBy(*index, "term").agg(F.min(first).alias("term_seq"))
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    asked = F.broadcast(terms) if small else terms
-    like = dictionary.join(asked, F.col("term").contains(F.col("q")), "inner")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - 1, F.lit(1))), lambda i: F.substring("term", i, F.lit(2)))
+    spread = dictionary.select(*dictionary.columns, F.explode(F.array_distinct(pairs)).alias("letters"))
+    like = spread.join(terms.withColumn("letters", F.substring("q", 1, 2)), "letters").where(F.col("term").contains(F.col("q"))).drop("letters")
     like = like.withColumn("exact", F.col("term") == F.col("q"))
     found = postings.join(like, [*index, "term"])
     return found.withColumn("hit_score", F.when(F.col("exact"), F.col("score")).otherwise(F.col("score") * PARTIAL))
@@ -84,3 +84,21 @@ def last_messages(chat: DataFrame, n: int = 10) -> DataFrame:
     """The last n messages of each conversation, of (conv_id, turn, role, text)."""
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     return chat.withColumn("back", rank).where(F.col("back") <= n)
+
+
+def system_turn(name: Column, description: Column | None = None) -> Column:
+    """What a model is told before a conversation about a document."""
+    about = F.lit("") if description is None else F.coalesce(F.concat(F.lit(" It is about: "), F.when(description != "", description)), F.lit(""))
+    told = "Answer from the sections given, name the section that an answer is taken from, and say so where they hold no answer."
+    return F.concat(F.lit('Questions are asked about "'), F.coalesce(name, F.lit("the document")), F.lit('".'), about, F.lit(" " + told))
+
+
+def with_history(questions: DataFrame, chat: DataFrame, n: int = 10) -> DataFrame:
+    """Adds `history` to questions (conv_id, turn): the last n messages (role, content) of the conversation before the turn."""
+    before = chat.select(F.col("conv_id").alias("of"), F.col("turn").alias("at"), "role", F.col("text").alias("content"))
+    own = questions.select("conv_id", "turn").distinct()
+    met = own.join(before, (F.col("conv_id") == F.col("of")) & (F.col("at") < F.col("turn")))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.desc("at")))
+    last = met.withColumn("back", rank).where(F.col("back") <= n).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("at", "role", "content"))).alias("history"))
+    told = F.transform("history", lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
+    return questions.join(last, ["conv_id", "turn"], "left").withColumn("history", F.coalesce(told, F.array().cast("array<struct<role:string,content:string>>")))

@@ -141,7 +141,7 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.select("rank", "node_seq", "node_id", "matched_term", F.round("score", 6).alias("score"), F.round("total_score", 6).alias("total_score"))
 
 
-@_query(_found("erble", "p.term = q.q") + " SELECT node_seq, term, round(hit, 6) AS hit_score FROM hits")
+@_query(_POSTINGS + " SELECT node_seq, term, round(score, 6) AS hit_score FROM postings WHERE term = 'erble'")
 def search_exact(spark, d):
     terms = search.query_terms(spark.createDataFrame([(0, "erble")], "query_id int, query string"))
     found = search.hits(postings.build_keywords(document_nodes(spark, d)), terms)
@@ -198,15 +198,9 @@ def token_count(spark, d):
     return _table(spark, d, "documents").select("doc_id", X.token_count(F.col("text")).alias("token_count"))
 
 
-@_query(r"SELECT doc_id, regexp_replace(regexp_replace(s, '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g') AS line FROM (SELECT doc_id, substr(text, 1, 40) || repeat('.', CAST(doc_id % 9 AS INT)) || ' 12 ' || repeat('. ', CAST(doc_id % 8 AS INT)) || '7' AS s FROM documents)")
-def dot_leader_normalise(spark, d):
-    line = F.concat(F.substring("text", 1, 40), F.expr("repeat('.', cast(doc_id % 9 as int))"), F.lit(" 12 "), F.expr("repeat('. ', cast(doc_id % 8 as int))"), F.lit("7"))
-    return _table(spark, d, "documents").select("doc_id", X.without_leaders(line).alias("line"))
-
-
 @_query(r"SELECT doc_id, regexp_replace(regexp_replace(s, '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g') AS line FROM (SELECT doc_id, text || repeat('.', CAST(doc_id % 9 AS INT)) || ' 12 ' || repeat('. ', CAST(doc_id % 8 AS INT)) || '7' AS s FROM documents)")
-def dot_leader_normalise_whole(spark, d):
-    """As dot_leader_normalise, over whole texts and not their first 40 characters."""
+def dot_leader_normalise(spark, d):
+    """Whole texts, with dot leaders added to them."""
     line = F.concat("text", F.expr("repeat('.', cast(doc_id % 9 as int))"), F.lit(" 12 "), F.expr("repeat('. ', cast(doc_id % 8 as int))"), F.lit("7"))
     return _table(spark, d, "documents").select("doc_id", X.without_leaders(line).alias("line"))
 
@@ -654,18 +648,24 @@ def tree_json(spark, d):
 
 
 @_query(
-    """SELECT conv_id, 'Relevant sections:' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Question: ' || role AS turn_text FROM conversations WHERE turn = 0"""
+    """SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN 'Relevant sections:' || chr(10) || chr(10) || text ELSE 'No section matches closely. Answer from what is known of the document''s structure, if possible.' END || chr(10) || chr(10) || 'Question: ' || role AS turn_text FROM conversations"""
 )
 def chat_user_turn(spark, d):
-    return _table(spark, d, "conversations").where("turn = 0").select("conv_id", search.user_turn(F.col("text"), F.col("role")).alias("turn_text"))
+    """Every turn of every conversation."""
+    return _table(spark, d, "conversations").select("conv_id", "turn", search.user_turn(F.col("text"), F.col("role")).alias("turn_text"))
 
 
 @_query(
-    """SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN 'Relevant sections:' || chr(10) || chr(10) || text ELSE 'No section matches closely. Answer from what is known of the document''s structure, if possible.' END || chr(10) || chr(10) || 'Question: ' || role AS turn_text FROM conversations"""
+    """SELECT a.conv_id, a.turn, count(b.turn) AS n_before, string_agg(b.role || ': ' || b.text, chr(10) ORDER BY b.turn) AS history
+FROM conversations a LEFT JOIN (SELECT *, 1 AS one FROM conversations) b ON a.conv_id = b.conv_id AND b.turn < a.turn AND (SELECT count(*) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn AND c.turn > b.turn) < 10
+GROUP BY 1, 2"""
 )
-def chat_user_turn_all(spark, d):
-    """As chat_user_turn, for every turn and not the first of each conversation."""
-    return _table(spark, d, "conversations").select("conv_id", "turn", search.user_turn(F.col("text"), F.col("role")).alias("turn_text"))
+def chat_history_of_turns(spark, d):
+    """For every turn, the ten messages before it as a model is given them."""
+    chat = _table(spark, d, "conversations")
+    found = search.with_history(chat.select("conv_id", "turn"), chat)
+    text = F.array_join(F.transform("history", lambda x: F.concat(x.role, F.lit(": "), x.content)), "\n")
+    return found.select("conv_id", "turn", F.size("history").cast("long").alias("n_before"), F.when(F.size("history") > 0, text).alias("history"))
 
 
 @_query(

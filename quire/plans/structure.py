@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import outline
+from quire.operators import markdown, outline, postings
 from quire.plans.provider import Provider, ask_rows, prompt, with_retries
 
 #: Steps of progress reports.
@@ -264,17 +264,24 @@ class Outliner:
             out.append(x | {"appear_start": answer})
         return [x for x in out if x["physical_index"] is not None]
 
-    def refined(self, items: list[dict], depth: int = 0) -> list[dict]:
-        """Items with those of large sections put in below them, level by level."""
+    def refined(self, items: list[dict], within: int | None = None) -> list[dict]:
+        """Items with those of large sections put in below them, in place of any there, level by level.
+
+        within: pages of the section that the items are from; a section as long as that isn't taken apart again.
+        """
         out: list[dict] = []
+        gone = ""  # the code of a section that was taken apart: its former parts go
         for i, x in enumerate(items):
+            code = str(x["structure"] or "")
+            if gone and code.startswith(f"{gone}."):
+                continue
+            gone = ""
             nxt = items[i + 1] if i + 1 < len(items) else None
             end = self.last if nxt is None else nxt["physical_index"] - (nxt["appear_start"] == "yes")
             out.append(x)
             low = x["physical_index"]
             size = sum(self.tokens(t) for t in self.texts[low - self.first : end - self.first + 1])
-            deeper = any(str(y["structure"] or "").startswith(f"{x['structure']}.") for y in items)
-            if deeper or end - low <= self.o.max_pages_each_node or size < self.o.max_tokens_each_node or depth > 8:
+            if end - low <= self.o.max_pages_each_node or size < self.o.max_tokens_each_node or end - low + 1 == within:
                 continue
             part = Outliner(self.ask_, self.texts[low - self.first : end - self.first + 1], self.tokens, self.o, low)
             try:
@@ -284,7 +291,8 @@ class Outliner:
             if below and below[0]["title"].strip() == x["title"].strip():
                 below = below[1:]
             below = [y | {"structure": f"{x['structure']}.{y['structure'] or k}"} for k, y in enumerate(below, 1)]
-            out += part.refined(below, depth + 1)
+            out += part.refined(below, end - low + 1)
+            gone = code
         return out
 
 
@@ -335,6 +343,75 @@ def build(pages: DataFrame, provider: Provider, write: Callable[[DataFrame, str]
     return nodes if options.add_ids else nodes.drop("node_id")
 
 
+@dataclass(frozen=True)
+class MarkdownOptions:
+    thin: bool = False
+    min_tokens: int = 5000
+    summary_tokens: int = 200
+    add_ids: bool = True
+    add_summaries: bool = True
+    add_description: bool = False
+    add_text: bool = False
+
+
+#: Steps of progress reports over Markdown.
+MARKDOWN_STEPS = ("start", "headings", "section texts", "thinning", "tree", "summaries", "description", "done")
+
+
+def index_markdown(docs: DataFrame, provider: Provider | None, write: Callable[[DataFrame, str], DataFrame], options: MarkdownOptions = MarkdownOptions(), progress: Progress | None = None) -> DataFrame:
+    """Nodes of Markdown texts (doc_id, content): sections, thinned if asked, as a tree with ids, paths, texts and summaries.
+
+    write(df, name) stores a table and returns it read again: replies are paid for once. With add_description, each node
+    carries its document's description, which needs summaries.
+    """
+    if options.add_summaries and provider is None:
+        raise ValueError("summaries need a provider")
+    p = progress or Progress(steps=MARKDOWN_STEPS)
+    p.at(1)
+    nodes = markdown.sections(docs)
+    p.at(2)
+    if options.thin:
+        p.at(3)
+        nodes = markdown.thin(markdown.with_tree(nodes), options.min_tokens).drop("subtree_tokens")
+    p.at(4)
+    nodes = write(markdown.with_paths(markdown.with_tree(nodes)), "markdown-tree")
+    if options.add_ids:
+        nodes = markdown.with_ids(nodes)
+    if options.add_summaries:
+        p.at(5)
+        head = prompt("summary", title="\x01", text="\x02").split("\x01")[0]
+        long = outline.X.token_count(F.col("text")) >= options.summary_tokens
+        asked = nodes.withColumn("prompt", F.when(long, F.concat(F.lit(head), "title", F.lit("\n## text\n"), "text")))
+        nodes = markdown.summary_columns(write(ask_rows(asked, provider, out="reply"), "replies"), F.col("reply"), options.summary_tokens).drop("prompt", "reply")
+        if options.add_description:
+            p.at(6)
+            nodes = nodes.join(write(descriptions(nodes, provider), "descriptions"), "doc_id", "left")
+    p.at(7)
+    return nodes if options.add_text else nodes.drop("text")
+
+
+def reverse_index(nodes: DataFrame, mode: str = "keyword", provider: Provider | None = None, per_node: int = 10, min_length: int = 3) -> DataFrame:
+    """Postings of nodes: by the words they hold (keyword) or by a provider's terms (llm)."""
+    if mode not in ("keyword", "llm"):
+        raise ValueError(f"the mode {mode!r} is not known")
+    if mode == "keyword":
+        return postings.build_keywords(nodes, per_node, min_length)
+    if provider is None:
+        raise ValueError("the mode 'llm' needs a provider")
+    return postings.build_from_terms(concept_terms(nodes, provider, per_node))
+
+
+def checked_input(kind: str, content: object) -> object:
+    """The content of a document, if it is of the type that its format needs."""
+    if kind == "md" and not (isinstance(content, str) and content):
+        raise ValueError("Markdown needs a text that is not empty")
+    if kind in ("pdf", "docx", "xlsx") and not isinstance(content, (bytes, bytearray, memoryview)):
+        raise ValueError(f"{kind} needs bytes")
+    if kind == "csv" and not isinstance(content, (str, bytes, bytearray, memoryview)):
+        raise ValueError("csv needs a text or bytes")
+    return content
+
+
 def descriptions(nodes: DataFrame, provider: Provider) -> DataFrame:
     """doc_id and a sentence about it, from its tree's titles and summaries; asked where summaries were made."""
     fields = [c for c in ("title", "node_id", "summary", "prefix_summary") if c in nodes.columns]
@@ -373,4 +450,4 @@ def document_type(name: str | None, kind: str | None = None) -> str:
     raise ValueError(f"the format of {name!r} is not known")
 
 
-__all__ = ["Options", "Outliner", "Progress", "build", "concept_terms", "descriptions", "document_type", "nested", "outline_items"]
+__all__ = ["MarkdownOptions", "Options", "Outliner", "Progress", "build", "checked_input", "concept_terms", "descriptions", "document_type", "index_markdown", "nested", "outline_items", "reverse_index"]
