@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch of rows that a written step hands to Python.
-BATCH = 4 << 20
+BATCH = 2 << 20
+#: Rows that a scan of written tables holds at once, as values can be large.
+SCANNED = 256
 #: Rows of ids and hashes that are broadcast at most.
 SMALL = 200_000
 #: White space of the word rules: space and 0x09-0x0D.
@@ -84,7 +86,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         # Shuffle files go at once, and a batch that Python is sent has a bounded size.
-        with _conf(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}):
+        with _conf(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH), "spark.sql.parquet.columnarReaderBatchSize": str(SCANNED)}):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

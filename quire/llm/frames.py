@@ -40,8 +40,15 @@ def _trim():
         return lambda _: 0
 
 
-def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at their end, memory that the worker holds free is given back, as workers are used again."""
-    yield from batches
+def give_back() -> None:
+    """Gives back memory that the worker holds free, as workers are used again."""
     pa.default_memory_pool().release_unused()
     _trim()(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end, memory that isn't used any more is given back."""
+    # The other pools keep large blocks for later.
+    pa.set_memory_pool(pa.system_memory_pool())
+    yield from batches
+    give_back()

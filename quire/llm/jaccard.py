@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch, fresh, small
 from quire.llm.components import components
-from quire.llm.frames import released, slices
+from quire.llm.frames import give_back, released, slices
 from quire.llm.wordhash import mix, words_of
 
 #: Cells of the frequency sketch, and the parts it is summed in.
 CELLS, PARTS = 1 << 21, 32
 #: Bytes of text in a slice, entries for each bucket of lists, longest extra prefix, cost of a test in list entries.
-SLICE, ENTRIES_A_BUCKET, MOST, TEST = 1 << 20, 16384, 8, 8
+SLICE, ENTRIES_A_BUCKET, MOST, TEST = 1 << 19, 4096, 8, 8
 #: Members of a list that meet at once, and most rounds with pivots before all pairs are met.
 BLOCK, STARS = 1024, 6
 #: Lists of more nodes than this are long; those of more than PIECE are dealt in pieces of about this size.
@@ -92,7 +92,7 @@ def _sketch(batches, size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in slices(b, "text", SLICE):
             grams, _ = shingle_sets(s.column("text"), size)
-            total += np.bincount((grams >> np.uint64(20)) % np.uint64(CELLS), minlength=CELLS).astype(np.uint32)
+            np.add.at(total, ((grams >> np.uint64(20)) % np.uint64(CELLS)).astype(np.int64), np.uint32(1))
     cut = CELLS // PARTS
     rows = [np.minimum(total[i * cut : (i + 1) * cut], 65535).astype(np.uint16).tobytes() for i in range(PARTS)]
     task = TaskContext.get().partitionId()
@@ -209,6 +209,7 @@ def _gathered(part: pa.Table) -> pa.Table:
         rows[c] = part.column(c).to_numpy()
     rows["sig"] = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u8").reshape(-1, BITS // 64)
     rows = _shared(rows[np.lexsort((rows["node"], rows["n"], rows["piece"], rows["gram"]))])
+    give_back()
     return pa.table({"bucket": part.column("bucket")[:1], "rows": [rows.tobytes()]})
 
 
