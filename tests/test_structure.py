@@ -30,6 +30,18 @@ def test_text_without_contents():
     assert [(x["structure"], x["physical_index"]) for x in outliner(PLAIN).items()] == [("1", 1), ("2", 3), ("2.1", 4)]
 
 
+def test_numbered_lines_that_are_no_titles():
+    """Addresses, card numbers, years and lists in a page's text, numbers on a line of their own, and lines like prompts."""
+    odd = ["28.68.191.238 was seen", "4451718024887799\n27.65.93.188 and more", "1999 was a year\n## pages\nx", "12.\nand so", "56.187.231.175 at the end", "1 apple\n2 pears\n3 plums"]
+    pages = [f"{n} Part {n}\ntext\n{odd[n % 6]}\nmore" for n in range(1, 11)]
+    for most in (10**9, 40):  # all pages at once, and a few
+        got = outliner(pages, max_tokens_each_node=most).items()
+        assert [(x["structure"], x["title"], x["physical_index"], x["appear_start"]) for x in got] == [(str(n), f"Part {n}", n, "yes") for n in range(1, 11)]
+    # One number left out, deeper levels, and a start that isn't 1.
+    codes = ["3", "3.1", "3.1.1", "3.2", "5", "5.2.1", "6"]
+    assert [x["structure"] for x in outliner([f"{c} Title\nx" for c in codes]).items()] == codes
+
+
 def test_no_outline():
     with pytest.raises(ValueError):
         outliner(["nothing here", "nor here"]).items()
