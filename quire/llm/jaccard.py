@@ -10,8 +10,9 @@ Equal sets are one node. The lists' lengths are counted first: shingles that one
 shared shingles in all than any partner asks for. What is left is gathered in buckets; a list longer than PIECE is dealt
 in pieces by node, so that no task gathers it whole. A piece counts as a list; it is also met by the whole list's first
 node and, at last, by the other pieces. Lists of up to LONG nodes give all their pairs. For long lists, components come
-first, as pairs inside one need no test: each list's members meet one pivot, then others while this finds links (which collapses
-groups of copies in linear work), then all pairs whose components differ, block by block. At first, what a pair may
+first, as pairs inside one need no test: each list's members meet PIVOTS of them, then others while this finds links (which collapses
+groups of copies in linear work), then all pairs whose components differ, block by block. Links found in a round join
+components as they are, so no round goes through earlier links again. At first, what a pair may
 share in long lists is taken to be as much as its nodes have there; a pivot's pairs count the lists that they met in;
 at the end, short and long lists are counted together. Pairs that share enough are tested on the whole sets. Two nodes
 meet only where their sizes and signatures allow the similarity: the bits in which the parities of two sets differ are
@@ -44,8 +45,8 @@ from quire.llm.wordhash import mix, words_of
 CELLS, PARTS = 1 << 21, 32
 #: Bytes of text in a slice, entries for each bucket of lists, longest extra prefix, cost of a test in list entries.
 SLICE, ENTRIES_A_BUCKET, MOST, TEST = 1 << 19, 4096, 8, 8
-#: Members of a list that meet at once, and most rounds with pivots before all pairs are met.
-BLOCK, STARS = 1024, 6
+#: Members of a list that meet at once, pivots of a list in a round, and most rounds with pivots before all pairs are met.
+BLOCK, PIVOTS, STARS = 1024, 8, 8
 #: Lists of more nodes than this are long; those of more than PIECE are dealt in pieces of about this size.
 LONG, PIECE = 32, 4096
 #: Bits of a signature.
@@ -296,18 +297,31 @@ def _short_lists(batches, buckets: int, part: int, whole: int) -> Iterator[pa.Re
 
 
 def _stars(batches, which: int, buckets: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
-    """Each list's members against one of them, which differs by round, where their components differ."""
+    """Each list's members against a few of them, which differ by round, where their components differ."""
     for rows, label in _labelled(batches):
+        if not len(rows):
+            continue
+        # A pivot that was added to its own piece is there twice.
+        new = np.concatenate(([True], ~_same(rows) | (rows["node"][1:] != rows["node"][:-1])))
+        rows, label = rows[new], label[new]
         at = _bounds(rows)
-        if len(rows):
-            # The pivot: the least score of each list.
-            order = np.lexsort((_score(rows, which), np.repeat(np.arange(len(at) - 1), np.diff(at))))
-            pivot = np.repeat(order[at[:-1]], np.diff(at))
-            use = np.flatnonzero((label != label[pivot]) & _near(rows["n"], rows["n"][pivot], part, whole))
-            use = use[_alike(rows, use, rows, pivot[use], part, whole)]
-            pairs = _pairs(rows[use], rows[pivot[use]])
-            pairs["more"] = 0  # pairs that share enough elsewhere are left to the last round
-            yield from _to_test(_uniq(pairs), buckets)
+        size = np.diff(at)
+        of = np.repeat(np.arange(len(size)), size)
+        # The pivots: the least scores of each list. A pair of two pivots meets once.
+        order = np.lexsort((_score(rows, which), of))
+        rank = np.empty(len(rows), np.int64)
+        rank[order] = np.arange(len(rows)) - at[:-1][of]
+        found = []
+        for k in range(PIVOTS):
+            use = np.flatnonzero((rank > k) & (size[of] > k))
+            pivot = order[at[:-1][of[use]] + k]
+            open_ = (label[use] != label[pivot]) & _near(rows["n"][use], rows["n"][pivot], part, whole)
+            use, pivot = use[open_], pivot[open_]
+            near = _alike(rows, use, rows, pivot, part, whole)
+            found.append(_pairs(rows[use[near]], rows[pivot[near]]))
+        pairs = np.concatenate(found)
+        pairs["more"] = 0  # pairs that share enough elsewhere are left to the last round
+        yield from _to_test(_uniq(pairs), buckets)
 
 
 def _score(rows: np.ndarray, which: int) -> np.ndarray:
@@ -441,21 +455,25 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
     sets = _sets(docs, nodes, ends.distinct(), size, s)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        one, two = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "ab")
+        met = s.write(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        used = sets.join(small(met), "node", "left_semi")  # sets that no pair needs aren't sent
+        one, two = (used.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "ab")
         return s.write(pairs.join(two, "b").join(one, "a").mapInArrow(lambda b: released(_verified(b, part, whole)), "a long, b long"), name)
 
-    edges = verify(pairs, "links")
-    nodes_labels = components(edges, s)
+    nodes_labels = components(verify(pairs, "links"), s)
+    # What rounds read: the long lists; at last, the entries of nodes that are in one, as pairs of others are done.
+    long_lists = s.write(lists.mapInArrow(lambda b: released(_of_lists(b, "long")), _DEALT), "long-lists")
+    open_lists = s.write(lists.mapInArrow(lambda b: released(_of_lists(b, "long_n")), _DEALT), "open-lists")
+    s.drop(lists)
     for which in range(STARS):
-        seen = _with_labels(lists, nodes_labels, True, split, s)
+        seen = _with_labels(long_lists, nodes_labels, split, s)
         seen = (_pivots(seen, which, s) if split else None) or seen
         links = verify(candidates(seen.mapInArrow(lambda b, w=which: released(_stars(b, w, buckets, part, whole)), _DEALT), f"links{which}"), f"links{which}")
         if links.isEmpty():
             break
-        edges = edges.union(links)
-        nodes_labels = components(edges, s)
+        nodes_labels = _joined(nodes_labels, links, s)
     block = "rows binary, labels binary, rows2 binary, labels2 binary"
-    seen = _with_labels(lists, nodes_labels, False, split, s)
+    seen = _with_labels(open_lists, nodes_labels, split, s)
     blocks = seen.mapInArrow(lambda b: released(_blocks(b, part, whole)), f"{block}, place string")
     if split:
         blocks = s.write(blocks, "blocks")
@@ -466,7 +484,7 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
     dealt = blocks.drop("place").repartition(_width(spark)).mapInArrow(lambda b: released(_met(b, buckets, part, whole)), _DEALT)
     links = verify(candidates(dealt, "last", True), "links-last")
     if not links.isEmpty():
-        nodes_labels = components(edges.union(links), s)
+        nodes_labels = _joined(nodes_labels, links, s)
     linked = nodes.select("node", "least").join(nodes_labels, "node")
     # Of each component: the row of the least id, and of equal ids the first. A node's first row of the least id:
     heads = s.write(rows.where(F.col("id").eqNullSafe(F.col("least"))).groupBy("node").agg(F.min("rid").alias("head")), "heads")
@@ -515,21 +533,45 @@ def _sets(docs: DataFrame, nodes: DataFrame, some: DataFrame, size: int, s: Scra
     return s.write(found.dropDuplicates(["node"]), "sets")  # rows that share id and text
 
 
-def _with_labels(lists: DataFrame, labels: DataFrame, long_only: bool, split: bool, s: Scratch) -> DataFrame:
-    """The lists (long_only: the long ones) that hold several components, with the component of each entry's node (itself without links)."""
+def _of_lists(batches, column: str) -> Iterator[pa.RecordBatch]:
+    """The entries of lists for which a column isn't 0, where a list has two of them."""
+    for b in batches:
+        for k, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist(), strict=True):
+            rows = np.frombuffer(rows, _ENTRY)
+            rows = _shared(rows[rows[column] > 0])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows.tobytes()], pa.binary())], names=["bucket", "rows"])
+
+
+def _joined(labels: DataFrame, links: DataFrame, s: Scratch) -> DataFrame:
+    """Components after more links: only the components that these meet are gone through again."""
+    ends = s.write(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "ends")
+    known = s.write(labels.join(small(ends), "node"), "known")
+    own = small(known)
+    between = links.join(own.select(F.col("node").alias("a"), F.col("label").alias("one")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("label").alias("two")), "b", "left")
+    between = between.select(F.coalesce("one", "a").alias("a"), F.coalesce("two", "b").alias("b")).where("a <> b").distinct()
+    found = components(s.write(between, "between"), s)
+    far = small(found).select(F.col("node").alias("root"), F.col("label").alias("far"))
+    moved = labels.join(far, F.col("label") == F.col("root"), "left").select("node", F.coalesce("far", "label").alias("label"))
+    # Nodes that had no links; one that had some is the root of its component.
+    had = known.select(F.col("label").alias("node")).distinct()
+    return s.write(moved.union(found.join(had, "node", "left_anti")), "joined")
+
+
+def _with_labels(lists: DataFrame, labels: DataFrame, split: bool, s: Scratch) -> DataFrame:
+    """The lists that hold several components, with the component of each entry's node (itself without links)."""
 
     def asks(batches):
         for b in batches:
             for k, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist(), strict=True):
                 rows = np.frombuffer(rows, _ENTRY)
-                node = np.unique(rows["node"][rows["long"] == 1] if long_only else rows["node"])
+                node = np.unique(rows["node"])
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(node), pa.int64()), pa.array(node)], names=["bucket", "node"])
 
     def fill(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"rows": pa.array([], pa.binary()), "labels": pa.array([], pa.binary())})
         rows = np.frombuffer(left.column("rows")[0].as_py(), _ENTRY)
-        rows = rows[rows["long"] == 1] if long_only else rows
         node, label = (right.column(c).to_numpy() for c in ("node", "label"))
         order = np.argsort(node)
         own = rows["node"].copy()

@@ -1,3 +1,4 @@
+import glob
 import random
 
 import numpy as np
@@ -117,3 +118,21 @@ def test_one_of_each_with_odd_rows(spark):
     assert jaccard.one_of_each(df.limit(0)).count() == 0
     odd = spark.sql("select id as doc_id, cast(unhex('61FF62') as string) as text from range(2)")
     assert {r.component_id for r in jaccard.near_duplicates(odd).collect()} == {0}
+
+
+def test_pivots_leave_few_pairs(spark, monkeypatch):
+    """A group of copies of which most are like a few only: pivots join it, so its pairs aren't all met."""
+    monkeypatch.setattr(jaccard, "LONG", 8)
+    r = random.Random(3)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(200):
+        words = list(base)
+        for at in r.sample(range(5, 195), 1 if i % 16 == 7 else 3):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    s = Scratch(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(df, 4, 5, 5, scratch=s).collect()
+    assert {x.component_id for x in got} == {0}
+    (last,) = glob.glob(f"{s.root}/*-pairs-last")
+    assert spark.read.parquet(last).count() < 2 * len(rows)
