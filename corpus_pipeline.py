@@ -8,7 +8,7 @@ exact_dedup and near_dedup keep one of them, mix takes each by its share. An emp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, exact, jaccard, langid, mixing
@@ -17,8 +17,8 @@ from quire.llm.common import Scratch, documents, fresh
 #: Documents whose language is not told with at least this score go, or with half of what nearly all labelled rows of the
 #: language and of like length score, where that is less: short texts with thousands of letters score low.
 LEAST_SCORE = 0.25
-#: Labelled rows of each language and length that a bound is derived from.
-BOUND_DOCS = 400
+#: Steps of a score that are told apart where bounds are counted.
+STEPS = 10_000
 
 #: Vocabulary file and pattern of the encoding; None: byte_bpe_50k of public_tokenizers.
 VOCABULARY: str | None = None
@@ -40,15 +40,15 @@ def least_scores(docs: DataFrame, train, ranks: dict[str, list[int]]) -> DataFra
 
     A length without labelled rows has the language's least bound, at most 64 rows for each language.
     """
-    rows = docs.where(train & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text", _band().alias("_band"))
-    sizes = rows.groupBy(F.col("lang").alias("_lang"), F.col("_band").alias("_of")).agg(F.count("*").alias("_count"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("bound")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    sample = rows.join(F.broadcast(sizes), (F.col("lang") == F.col("_lang")) & (F.col("_band") == F.col("_of")))
-    sample = sample.where(chance < BOUND_DOCS / F.col("_count")).select("lang", "_band", "text")
-    right = langid.predict(sample, ranks).where("lang_pred = lang")
+    rows = docs.where(train & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", _band().alias("_band"))
+    right = langid.predict(rows, ranks).where("lang_pred = lang")
+    # How many rows score so much or less, of all labelled ones: the bound is the first step with a twentieth of them.
+    steps = right.groupBy("lang", "_band", F.floor(F.col("lang_score") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    of = Window.partitionBy("lang", "_band")
+    steps = steps.withColumn("below", F.sum("n").over(of.orderBy("step"))).withColumn("all", F.sum("n").over(of))
     found: dict[str, dict[int, float]] = {}
-    for r in right.groupBy("lang", "_band").agg(F.percentile("lang_score", F.lit(0.05)).alias("low")).collect():
-        found.setdefault(r.lang, {})[r["_band"]] = r.low / 2
+    for r in steps.where("20 * below >= all").groupBy("lang", "_band").agg(F.min("step").alias("low")).collect():
+        found.setdefault(r.lang, {})[r["_band"]] = r.low / STEPS / 2
     bounds = [(k, band, v.get(band, min(v.values()))) for k, v in found.items() for band in range(64)]
     return docs.sparkSession.createDataFrame([b for b in bounds if b[2] < LEAST_SCORE], "_lang string, _band long, _least double")
 
@@ -56,7 +56,7 @@ def least_scores(docs: DataFrame, train, ranks: dict[str, list[int]]) -> DataFra
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or unlike all learned ones."""
     train = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2, F.lit(True))
-    ranks = langid.fit(docs, train)
+    ranks = langid.fit(docs, train, most=None)
     pred, score, own, of, band, least = fresh(docs, "pred", "score", "own", "of", "band", "least")
     found = langid.predict(docs, ranks, pred=pred, score=score).where(F.col(pred) != "und").withColumn(own, _band())
     bounds = F.broadcast(least_scores(docs, train, ranks).toDF(of, band, least))

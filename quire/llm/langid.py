@@ -6,7 +6,7 @@ out-of-place distance: for each n-gram of the text, how far its rank is from the
 length. The language of the smallest distance is predicted.
 
 Profiles are fitted on a bounded sample of labelled rows, about FIT_DOCS of each language picked by a hash of their
-ids, each with its whole text: the classifier only; predictions read every whole text.
+ids, each with its whole text, or on all labelled rows (most=None): the classifier only; predictions read every whole text.
 
 Defined results: `und` and score 0 where the text is null or has no letter, or nothing was learned. Ties go to the
 language first in code point order. Equal n-gram counts rank by code. Rows with a null language aren't learned from.
@@ -36,6 +36,8 @@ MOST_LANGUAGES = 4_096
 _BITS = 21
 #: Characters that are counted at once, and up to the end of a word.
 _PART = 1 << 18
+#: N-grams of texts that a task holds before it adds them up, or hands them on.
+_HELD = 1 << 20
 
 
 @lru_cache(1)
@@ -75,6 +77,12 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys, n
 
 
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of several texts and their counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+
+
 def ranked(keys: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     """The most frequent n-grams, the most frequent first; equal ones by code."""
     if len(n) > 4 * most:  # only those that can be among them are sorted
@@ -109,10 +117,10 @@ class Profiles:
         return self.langs[best], 1.0 - float(distance[best]) / (self.size * len(own))
 
 
-def fit(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
-    """The profiles of the labelled rows that `train` picks."""
+def fit(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int | None = FIT_DOCS) -> dict[str, list[int]]:
+    """The profiles of the labelled rows that `train` picks: of about `most` rows of each language, or of all (None)."""
     rows = df.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = {r[0]: FIT_DOCS / r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
+    share = {r[0]: 1.0 if most is None else most / r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
     if len(share) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not share:
@@ -122,15 +130,25 @@ def fit(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text"
     sample = rows.where(chance < F.element_at(of, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def grams(batches):
+        total: dict[str, list] = {}
+        held = 0
         for b in batches:
             for s in slices(b, "text"):
-                total: dict[str, list] = {}
                 for name, t in zip(s.column("lang").to_pylist(), texts(s.column("text")), strict=True):
                     total.setdefault(name, []).append(counts(t))
-                for name, found in total.items():
-                    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
+                    held += len(total[name][-1][0])
+                    if held > _HELD:
+                        total = {k: [_added(v)] for k, v in total.items()}
+                        held = sum(len(v[0][0]) for v in total.values())
+                        if held > _HELD // 2:
+                            yield from out(total)
+                            total, held = {}, 0
+        yield from out(total)
+
+    def out(total: dict[str, list]):
+        for name, found in total.items():
+            keys, n = _added(found)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
     found = sample.mapInArrow(lambda b: released(grams(b)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

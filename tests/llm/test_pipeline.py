@@ -1,11 +1,13 @@
+import math
 import random
 from collections import Counter
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import bpe, exact, jaccard, mixing
+from quire.llm import bpe, exact, jaccard, langid, mixing
 
 
 
@@ -81,6 +83,26 @@ def test_language_of_many_letters(spark):
     assert not got - {x[0] for x in rows}
 
 
+def test_bounds_of_all_labelled_rows(spark):
+    """Bounds and profiles are of all labelled rows of a language, not of some."""
+    r = random.Random(8)
+    words = ["".join(r.choice([chr(0x4E00 + i) for i in range(3000)]) for _ in range(r.randint(2, 4))) for _ in range(9000)]
+    rows = [(i, " ".join(r.choices(words, [(k + 1) ** -0.8 for k in range(9000)], k=20 + i % 4)), "zz", "a", 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    train = F.col("doc_id") >= 0
+    ranks = langid.fit(docs, train, most=None)
+    grams = Counter()
+    for x in rows:
+        grams.update(dict(zip(*(a.tolist() for a in langid.counts(x[1])), strict=True)))
+    assert ranks == {"zz": sorted(grams, key=lambda g: (-grams[g], g))[: langid.PROFILE_RANKS]}
+    scores = {}
+    for x in langid.predict(docs, ranks).collect():
+        scores.setdefault(int(math.log2(len(x.text))), []).append(math.floor(x.lang_score * 10_000))
+    want = {band: sorted(v)[math.ceil(len(v) / 20) - 1] / 20_000 for band, v in scores.items()}
+    got = {x["_band"]: x["_least"] for x in corpus_pipeline.least_scores(docs, train, ranks).collect()}
+    assert got == {band: want.get(band, min(want.values())) for band in range(64) if want.get(band, min(want.values())) < corpus_pipeline.LEAST_SCORE} and want
+
+
 def test_odd_tables_in_each_stage(spark):
     """Empty tables, clashing names, nulls, repeated rows and a very long text."""
     rows = [*make()[:60], (None, "the " * 30000, "th", None, 1), (500, None, None, None, None), (500, None, None, None, None)]
