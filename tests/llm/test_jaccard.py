@@ -136,3 +136,12 @@ def test_pivots_leave_few_pairs(spark, monkeypatch):
     assert {x.component_id for x in got} == {0}
     (last,) = glob.glob(f"{s.root}/*-pairs-last")
     assert spark.read.parquet(last).count() < 2 * len(rows)
+
+
+def test_several_pivots_in_a_round():
+    rows = np.zeros(20, jaccard._ENTRY)
+    rows["gram"], rows["node"], rows["n"], rows["l"], rows["long"], rows["long_n"] = 7, range(20), 50, 1, 1, 1
+    batch = pa.RecordBatch.from_arrays([pa.array([rows.tobytes()]), pa.array([np.arange(20).tobytes()])], names=["rows", "labels"])
+    data = b"".join(x for b in jaccard._stars([batch], 0, 4, 4, 5) for x in b.column("rows").to_pylist())
+    got = sorted((p["a"], p["b"], p["shared"]) for p in np.frombuffer(data, jaccard._PAIR))
+    assert got == [(i, j, 1) for i in range(8) for j in range(i + 1, 20)]
