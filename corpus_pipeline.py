@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, exact, jaccard, langid, mixing
-from quire.llm.common import Scratch, documents, fresh
+from quire.llm.common import Scratch, bounded, documents, fresh
 
 #: Documents whose language is not told with at least this score go, or with half of what nearly all labelled rows of the
 #: language and of like length score, where that is less: short texts with thousands of letters score low.
@@ -47,7 +47,9 @@ def least_scores(docs: DataFrame, train, ranks: dict[str, list[int]]) -> DataFra
     of = Window.partitionBy("lang", "_band")
     steps = steps.withColumn("below", F.sum("n").over(of.orderBy("step"))).withColumn("all", F.sum("n").over(of))
     found: dict[str, dict[int, float]] = {}
-    for r in steps.where("20 * below >= all").groupBy("lang", "_band").agg(F.min("step").alias("low")).collect():
+    with bounded(docs.sparkSession):
+        low = steps.where("20 * below >= all").groupBy("lang", "_band").agg(F.min("step").alias("low")).collect()
+    for r in low:
         found.setdefault(r.lang, {})[r["_band"]] = r.low / STEPS / 2
     bounds = [(k, band, v.get(band, min(v.values()))) for k, v in found.items() for band in range(64)]
     return docs.sparkSession.createDataFrame([b for b in bounds if b[2] < LEAST_SCORE], "_lang string, _band long, _least double")
@@ -61,7 +63,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.predict(docs, ranks, pred=pred, score=score).where(F.col(pred) != "und").withColumn(own, _band())
     bounds = F.broadcast(least_scores(docs, train, ranks).toDF(of, band, least))
     found = found.join(bounds, (F.col(pred) == F.col(of)) & (F.col(own) == F.col(band)), "left")
-    return found.where(F.col(score) >= F.coalesce(least, F.lit(LEAST_SCORE))).select(*docs.columns)
+    found = found.where(F.col(score) >= F.coalesce(least, F.lit(LEAST_SCORE))).select(*docs.columns)
+    return Scratch(spark).write(found, "language")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,13 +87,20 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary, pattern = _vocabulary()
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids")]
     (decoded,) = fresh(docs, "decoded")
-    ids = bpe.encode(docs.select(*kept), vocabulary, pattern).drop("text")
+    # Each way is written, so that a task holds the vocabulary in one worker at a time.
+    scratch = Scratch(spark)
+    ids = scratch.write(bpe.encode(docs.select(*kept), vocabulary, pattern).drop("text"), "ids")
     back = bpe.decode(ids, vocabulary, pattern, out=decoded).withColumn("text", F.col(decoded).cast("string"))
-    return back.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    found = scratch.write(back.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids"), "encode")
+    scratch.drop(ids)
+    return found
 
 
 STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
 
+#: Stages with Python in their last step: they write it themselves, so that batches are bounded under any caller's settings.
+WRITTEN = {"language", "encode"}
+
 #: Language profiles, random rounding and byte pairs have no SQL form.
 ORACLE_SQL: str | None = None
 
@@ -98,6 +108,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written before the next."""
     scratch, docs = Scratch(spark), documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name not in WRITTEN:
+            docs = scratch.write(docs, name)
+    return docs

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, fresh, small
+from quire.llm.common import Scratch, bounded, fresh, small
 from quire.llm.components import components
 from quire.llm.frames import give_back, released, slices
 from quire.llm.wordhash import mix, words_of
@@ -112,7 +112,8 @@ def frequency_classes(df: DataFrame, size: int) -> np.ndarray:
 
     for _ in range(3):  # sums of at most 256 at a time: up to 16 million tasks
         table = table.withColumn("task", F.floor(F.col("task") / 256)).groupBy("task", "part").applyInArrow(add, "task long, part long, counts binary")
-    got = sorted(table.collect(), key=lambda r: r.part)  # PARTS rows
+    with bounded(df.sparkSession):
+        got = sorted(table.collect(), key=lambda r: r.part)  # PARTS rows
     if not got:
         return np.zeros(CELLS, np.uint8)
     s_ = np.concatenate([np.frombuffer(r.counts, np.float32) for r in got])

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import bounded
 from quire.llm.frames import released, replace_column, slices, texts
 
 #: Ranks kept of a text and of a profile.
@@ -154,7 +155,9 @@ def fit(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text"
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = found.withColumn("rank", rank).where(F.col("rank") <= PROFILE_RANKS)
     ranks: dict[str, list[int]] = {}
-    for r in sorted(top.collect(), key=lambda r: (r.lang, r.rank)):  # PROFILE_RANKS rows for each language
+    with bounded(df.sparkSession):
+        found = top.collect()  # PROFILE_RANKS rows for each language
+    for r in sorted(found, key=lambda r: (r.lang, r.rank)):
         ranks.setdefault(r.lang, []).append(r.gram)
     return ranks
 

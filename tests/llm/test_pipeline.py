@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import bpe, exact, jaccard, langid, mixing
+from quire.llm.common import Scratch
 
 
 
@@ -116,3 +117,32 @@ def test_odd_tables_in_each_stage(spark):
             got = found.select(*own).collect()
             assert set(map(tuple, got)) <= set(map(tuple, docs.select(*own).collect())) or name == "encode"
             assert bool(got) == (docs is df)
+
+
+def test_stages_end_without_python(spark):
+    """As callers' settings may send Python whole tables in a batch, no stage leaves steps in Python to its caller."""
+    docs = spark.createDataFrame([(i, f"the cat number{i} sat on this mat", "en", "a", 0) for i in range(20)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert "InArrow" not in docs._jdf.queryExecution().toString()
+    assert docs.count()
+
+
+def test_written_row_groups_are_bounded(spark):
+    """64 MB in 64 values that can't be compressed: a task holds 32 MB of them and some more at once, not all."""
+    import glob
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def values(batches):
+        for b in batches:
+            for _ in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([os.urandom(1 << 20)], pa.binary())], names=["x"])
+
+    scratch = Scratch(spark)
+    assert scratch.write(spark.range(0, 64, 1, 1).mapInArrow(values, "x binary"), "x").count() == 64
+    found = [pq.ParquetFile(f).metadata for f in glob.glob(scratch.root.removeprefix("file://") + "/*/*.parquet")]
+    sizes = [m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)]
+    assert sum(sizes) == 64 and max(sizes) <= 48
