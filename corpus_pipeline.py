@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, exact, jaccard, langid, mixing
-from quire.llm.common import Scratch, bounded, documents, fresh
+from quire.llm.common import Scratch, bounded, documents, fresh, small
 
 #: Documents whose language is not told with at least this score go, or with half of what nearly all labelled rows of the
 #: language and of like length score, where that is less: short texts with thousands of letters score low.
@@ -56,15 +56,21 @@ def least_scores(docs: DataFrame, train, ranks: dict[str, list[int]]) -> DataFra
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or unlike all learned ones."""
+    """Drops documents without a language: no letters, or unlike all learned ones.
+
+    Only ids and hashes of the texts that go are written: the rows that stay are read from their table.
+    """
     train = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2, F.lit(True))
     ranks = langid.fit(docs, train, most=None)
-    pred, score, own, of, band, least = fresh(docs, "pred", "score", "own", "of", "band", "least")
-    found = langid.predict(docs, ranks, pred=pred, score=score).where(F.col(pred) != "und").withColumn(own, _band())
-    bounds = F.broadcast(least_scores(docs, train, ranks).toDF(of, band, least))
-    found = found.join(bounds, (F.col(pred) == F.col(of)) & (F.col(own) == F.col(band)), "left")
-    found = found.where(F.col(score) >= F.coalesce(least, F.lit(LEAST_SCORE))).select(*docs.columns)
-    return Scratch(spark).write(found, "language")
+    some = docs.where(F.length("text") > 0)
+    rows = some.select("doc_id", F.xxhash64("text").alias("row"), _band().alias("band"), "text")
+    found = langid.predict(rows, ranks, kept=["doc_id", "row", "band"])
+    bounds = F.broadcast(least_scores(docs, train, ranks))
+    found = found.join(bounds, (F.col("lang_pred") == F.col("_lang")) & (F.col("band") == F.col("_band")), "left")
+    unlike = (F.col("lang_pred") == "und") | (F.col("lang_score") < F.coalesce("_least", F.lit(LEAST_SCORE)))
+    own, of = fresh(docs, "id", "row")
+    gone = Scratch(spark).write(found.where(unlike).select(F.col("doc_id").alias(own), F.col("row").alias(of)).distinct(), "unlike")
+    return some.join(small(gone), F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(of)), "left_anti").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,28 +94,31 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids")]
     (decoded,) = fresh(docs, "decoded")
     # Each way is written, so that a task holds the vocabulary in one worker at a time.
-    scratch = Scratch(spark)
-    ids = scratch.write(bpe.encode(docs.select(*kept), vocabulary, pattern).drop("text"), "ids")
+    scratch, steps = Scratch(spark), Scratch(spark)
+    ids = steps.write(bpe.encode(docs.select(*kept), vocabulary, pattern, scratch=steps).drop("text"), "ids")
     back = bpe.decode(ids, vocabulary, pattern, out=decoded).withColumn("text", F.col(decoded).cast("string"))
     found = scratch.write(back.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids"), "encode")
-    scratch.drop(ids)
+    steps.clear()
     return found
 
 
 STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
 
 #: Stages with Python in their last step: they write it themselves, so that batches are bounded under any caller's settings.
-WRITTEN = {"language", "encode"}
+WRITTEN = {"encode"}
 
 #: Language profiles, random rounding and byte pairs have no SQL form.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written before the next."""
-    scratch, docs = Scratch(spark), documents(spark, sf_dir)
+    """All stages in order, each written before the next; then what the one before wrote goes."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        scratch, docs = Scratch(spark), stage(spark, docs, sf_dir)
         if name not in WRITTEN:
             docs = scratch.write(docs, name)
+        if before:
+            before.clear()
+        before = scratch
     return docs

@@ -103,8 +103,9 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int
 
 def distinct_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """The rows that stay, with all their columns."""
-    s = scratch or Scratch(df.sparkSession)
-    found = s.write(dedup(df, text, doc_id, scratch=s).where("not kept").select("doc_id", "keep_id", "sha"), "dropped")
+    s, steps = scratch or Scratch(df.sparkSession), Scratch(df.sparkSession)
+    found = s.write(dedup(df, text, doc_id, scratch=steps).where("not kept").select("doc_id", "keep_id", "sha"), "dropped")
+    steps.clear()
     again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     id_, sha_ = fresh(df, "id", "sha")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(id_), F.col("sha").alias(sha_)).distinct()

@@ -500,11 +500,12 @@ def near_duplicates(df: DataFrame, part: int = 9, whole: int = 10, size: int = 3
 
 def one_of_each(df: DataFrame, part: int = 4, whole: int = 5, size: int = 5, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """The rows that stay, with all their columns: one of each component, and all without shingles."""
-    s = scratch or Scratch(df.sparkSession)
-    found = s.write(near_duplicates(df, part, whole, size, text, doc_id, s).where("n_shingles > 0").select("doc_id", "row", "kept"), "components")
+    s, steps = scratch or Scratch(df.sparkSession), Scratch(df.sparkSession)
+    found = steps.write(near_duplicates(df, part, whole, size, text, doc_id, steps).where("n_shingles > 0").select("doc_id", "row", "kept"), "components")
     # Rows of equal id and text are one here: together they stay once or go.
     own, of = fresh(df, "id", "row")
     known = s.write(found.groupBy(F.col("doc_id").alias(own), F.col("row").alias(of)).agg(F.bool_or("kept").alias("any"), F.count("*").alias("n")), "known")
+    steps.clear()
     gone = known.where("not any").select(own, of)
     kept = df.join(small(gone), F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(of)), "left_anti")
     if known.where("any and n > 1").isEmpty():

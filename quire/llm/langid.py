@@ -162,16 +162,18 @@ def fit(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text"
     return ranks
 
 
-def predict(df: DataFrame, ranks: dict[str, list[int]], text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """All columns, and the language predicted and its score."""
+def predict(df: DataFrame, ranks: dict[str, list[int]], text: str = "text", pred: str = "lang_pred", score: str = "lang_score", kept: list[str] | None = None) -> DataFrame:
+    """All columns, or those to be kept, and the language predicted and its score."""
+    fields = [f for f in df.schema.fields if f.name not in (pred, score) and (kept is None or f.name in kept)]
 
     def run(batches):
         own = Profiles(ranks)
         for b in batches:
             for s in slices(b, text):
                 found = [own.predict(t) for t in texts(s.column(text))]
+                s = s.select([f.name for f in fields])
                 s = replace_column(s, pred, pa.array([f[0] for f in found], pa.string()))
                 yield replace_column(s, score, pa.array([f[1] for f in found], pa.float64()))
 
     new = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
-    return df.mapInArrow(lambda b: released(run(b)), T.StructType([*(f for f in df.schema.fields if f.name not in (pred, score)), *new]))
+    return df.mapInArrow(lambda b: released(run(b)), T.StructType([*fields, *new]))

@@ -147,12 +147,13 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed
 
 def mixed_documents(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, scratch: Scratch | None = None) -> DataFrame:
     """The rows of documents, each as often as the mix takes it, with all their columns."""
-    s = scratch or Scratch(df.sparkSession)
+    s, steps = scratch or Scratch(df.sparkSession), Scratch(df.sparkSession)
     # Rows of one id, source and text are taken together: the unit's id is the id with a hash of the text.
     id_, of, total, rows, times, copy, id2, of2 = fresh(df, "id", "of", "total", "rows", "times", "copy", "id2", "of2")
     unit = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    taken = mix(df.select(unit.alias("doc_id"), "source", "text"), weights, most, seed, scratch=s)
+    taken = mix(df.select(unit.alias("doc_id"), "source", "text"), weights, most, seed, scratch=steps)
     taken = s.write(taken.where("copies > 0").groupBy(F.col("doc_id").alias(id_), F.col("source").alias(of)).agg(F.sum("copies").alias(total)), "taken")
+    steps.clear()
     same = lambda x: (F.col("doc_id").eqNullSafe(x[id_].id)) & (F.xxhash64("text") == x[id_].h) & F.col("source").eqNullSafe(x[of])
     repeated = df.groupBy(unit.alias(id2), F.col("source").alias(of2)).agg(F.count("*").alias(rows)).where(F.col(rows) > 1)
     joined = df.join(taken, same(taken))

@@ -146,3 +146,37 @@ def test_written_row_groups_are_bounded(spark):
     found = [pq.ParquetFile(f).metadata for f in glob.glob(scratch.root.removeprefix("file://") + "/*/*.parquet")]
     sizes = [m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)]
     assert sum(sizes) == 64 and max(sizes) <= 48
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path, monkeypatch):
+    """Stages leave ids and hashes, and the last its result; a run leaves no copy of the rows for each stage either."""
+    from itertools import count
+    from pathlib import Path
+
+    from quire.llm import common
+
+    def held():
+        return sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+
+    shared, number = tmp_path / "shared", count()
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"{shared}/{next(number)}")
+    r = random.Random(3)
+    # Letters that can't be compressed; one long text is encoded in parts.
+    rows = [(i, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(9000 if i == 5 else 1500)), "la", "a", 1) for i in range(40)]
+    d = tmp_path / "in"
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{d}/documents.parquet")
+    docs, size = spark.read.parquet(f"{d}/documents.parquet"), sum(p.stat().st_size for p in d.rglob("*.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        at = held()
+        found = stage(spark, docs, str(d))
+        if name == "encode":
+            out = held() - at
+            assert found.count() == docs.count() and out < 2.5 * size
+        else:
+            assert held() - at < 0.1 * size, name
+            found.write.parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+            assert docs.count()
+    at = held()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], corpus_pipeline.STAGES[-1]])
+    assert corpus_pipeline.run(spark, str(d)).count() == len(rows) and held() - at < out + 0.1 * size
